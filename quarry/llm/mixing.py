@@ -4,7 +4,8 @@ Targets share a budget of words by weight.  A source's target stops at
 ``max_epochs`` times its size; the excess is shared by weight among the others,
 again and again, until none is above its cap.  A source's documents are then all
 taken a whole number of times, and a seeded part of them once more: in the order
-of a seeded hash, documents are taken until the rest of the target is met.
+of a seeded hash, documents are taken until the next would exceed the target, then
+the next that still fit the rest, and so on.
 
 Sources may be any number; their table is never collected.
 """
@@ -21,7 +22,9 @@ from quarry.llm.storage import materialize, small, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one source and hash bucket that a single task orders, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
+#: Rounds in which the last bucket's documents fill up a source's target; each leaves a smaller rest.
+MAX_ROUNDS = 6
 
 
 def n_words(text: Column) -> Column:
@@ -64,9 +67,11 @@ def water_filled(sources: DataFrame, weights: Sequence[int], max_epochs: int) ->
 def mixing_plan(
     sized: DataFrame, *, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 20
 ) -> DataFrame:
-    """A row per source: (source, source_size, target, whole, until).
+    """A row per source: (source, source_size, target, whole, below, steps).
 
-    A document is taken ``whole`` times, and once more if its dice() is at most ``until``.
+    A document is taken ``whole`` times, and once more if its dice() is less than
+    ``below`` or within one of ``steps`` (after, until, most) and its size is at most
+    that step's.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = water_filled(sources, weights, max_epochs)
@@ -75,7 +80,7 @@ def mixing_plan(
     sources = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     sources = materialize(sources, "targets")
     n_sources, most = sources.agg(F.count(F.lit(1)), F.max("rows")).first()
-    bits = max(4, min(20, ((most or 1) // BUCKET_ROWS).bit_length() + 4))
+    bits = min(20, ((most or 1) // BUCKET_ROWS).bit_length())
     thrown = sized.select("source", "size", dice(F.col("doc_id"), seed).alias("u"))
     thrown = thrown.withColumn("bucket", F.shiftright("u", 62 - bits))
     held = thrown.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
@@ -84,22 +89,40 @@ def mixing_plan(
     rest = sources.select(F.col("source").alias("of"), "rest")
     at = held.join(small(rest, n_sources), F.col("source").eqNullSafe(F.col("of")))
     at = at.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") >= F.col("rest")))
-    at = materialize(at.select("of", "bucket", "before", "rest"), "cuts")
-    # Only the bucket in which a source's rest is met is ordered, by dice.
+    below = F.shiftleft(F.col("bucket"), 62 - bits)
+    at = at.select("of", "bucket", below.alias("below"), (F.col("rest") - F.col("before")).alias("room"))
+    at = materialize(at, "cuts")
+    # Only the documents of the bucket in which a source's rest is met are ordered.
     edge = thrown.withColumnRenamed("bucket", "b").join(
         small(at, n_sources), F.col("source").eqNullSafe(F.col("of")) & (F.col("b") == F.col("bucket"))
     )
-    upto = F.sum("size").over(Window.partitionBy("of", "bucket").orderBy("u"))
-    same = F.sum("size").over(Window.partitionBy("of", "bucket", "u"))
-    edge = edge.withColumn("upto", F.col("before") + upto).withColumn("same", same)
-    inside = F.col("upto") - F.col("same") / 2 <= F.col("rest")
-    found = edge.groupBy("of").agg(F.max(F.when(inside, F.col("u"))).alias("in_bucket"), F.max("bucket").alias("bucket"))
-    start = F.shiftleft(F.col("bucket"), 62 - bits) - 1
-    found = found.select("of", F.coalesce("in_bucket", start).alias("until"))
+    edge = materialize(edge.filter("size > 0").groupBy("of", "u").agg(F.sum("size").alias("size")), "edge")
+    state = at.select("of", (F.col("below") - 1).alias("after"), "room")
+    rounds = []
+    for _ in range(MAX_ROUNDS):
+        # From where the last round stopped, the next documents until one no longer fits.
+        state = state.select(F.col("of").alias("src"), "after", "room")
+        fits = (F.col("u") > F.col("after")) & (F.col("size") <= F.col("room"))
+        near = edge.join(small(state, n_sources), F.col("of").eqNullSafe(F.col("src"))).filter(fits)
+        upto = F.sum("size").over(Window.partitionBy("of", "after", "room").orderBy("u"))
+        took = near.withColumn("upto", upto).filter("upto <= room").groupBy("of", "after", "room")
+        step = materialize(took.agg(F.max("u").alias("until"), F.max("upto").alias("used")), "step")
+        if step.isEmpty():
+            break
+        rounds.append(step.select("of", F.struct("after", "until", F.col("room").alias("most")).alias("step")))
+        state = step.select("of", F.col("until").alias("after"), (F.col("room") - F.col("used")).alias("room"))
+    found = at.select("of", "below", F.lit(None).cast("struct<after:bigint,until:bigint,most:double>").alias("step"))
+    for step in rounds:
+        found = found.unionByName(step.withColumn("below", F.lit(None).cast("long")))
+    found = found.groupBy("of").agg(F.max("below").alias("below"), F.collect_list("step").alias("steps"))
     joined = sources.join(small(found, n_sources), F.col("source").eqNullSafe(F.col("of")), "left")
-    none, every = F.lit(-1).cast("long"), F.lit((1 << 62) - 1)
-    until = F.when(F.col("rest") <= 0, none).otherwise(F.coalesce("until", every))
-    return materialize(joined.select("source", "source_size", "target", F.col("whole").cast("int"), until.alias("until")), "plan")
+    every = F.when(F.col("rest") <= 0, F.lit(0)).otherwise(F.lit(1 << 62))
+    return materialize(
+        joined.select(
+            "source", "source_size", "target", F.col("whole").cast("int"), F.coalesce("below", every).alias("below"), "steps"
+        ),
+        "plan",
+    )
 
 
 def dice(doc_id: Column, seed: int) -> Column:
@@ -109,9 +132,11 @@ def dice(doc_id: Column, seed: int) -> Column:
 
 def repetitions(sized: DataFrame, plan: DataFrame, seed: int, max_epochs: int) -> DataFrame:
     """``sized`` joined to its source's plan, with ``repeats``."""
-    plan = plan.select(F.col("source").alias("_q_of"), "source_size", "target", "whole", "until")
+    plan = plan.select(F.col("source").alias("_q_of"), "source_size", "target", "whole", "below", "steps")
     joined = sized.join(small(plan, plan.count()), F.col("source").eqNullSafe(F.col("_q_of")))
-    once_more = (dice(F.col("doc_id"), seed) <= F.col("until")).cast("int")
+    u = dice(F.col("doc_id"), seed)
+    within = F.exists("steps", lambda s: (u > s["after"]) & (u <= s["until"]) & (F.col("size") <= s["most"]))
+    once_more = ((u < F.col("below")) | F.coalesce(within, F.lit(False))).cast("int")
     return joined.withColumn("repeats", F.least(F.col("whole") + once_more, F.lit(max_epochs)))
 
 
@@ -130,9 +155,9 @@ def mix(
     ``size`` is the number of words, 0 for null and blank texts; such documents
     are taken like the others and add nothing.  Sources by code point, null
     last, weigh ``weights`` in turn; a null source is a source of its own.
-    Taken words miss a source's target by half of a document at most, by one
-    document where rows repeat an id.  A source without words has target 0.
-    Rows of equal id share their dice.  An empty table gives no rows.
+    Taken words stay below a source's target by less than one of the documents
+    that come last in its order, mostly by a few words.  A source without words
+    has target 0.  Rows of equal id share their dice and count together.  An empty table gives no rows.
     """
     sized = materialize(
         docs.select(
@@ -170,6 +195,7 @@ def mixed_documents(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_q_row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
+        n_words(text_or_empty(text_col)).alias("size"),
     )
     mixed = repetitions(rows, chosen, seed, max_epochs).filter("repeats > 0")
     repeated = mixed.select("_q_row", F.explode(F.array_repeat(F.lit(0), F.col("repeats"))).alias("_q_n"))

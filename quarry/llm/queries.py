@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.exact_dedup import exact_groups
 from quarry.llm.html_text import extract_main_text
 from quarry.llm.mixing import mix
+from quarry.llm.near_dedup import near_groups
 from quarry.llm.packing import pack
 from quarry.llm.sharding import shard_by_bytes
+from quarry.llm.sstable import tokens_through_files
 from quarry.llm.tokens import read_tokenizer
 
 
@@ -23,6 +25,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -40,12 +46,19 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return tokens_through_files(table(spark, sf_dir, "documents"), tokenizer)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_source_mixing": op7_source_mixing,
+    "op8_token_output": op8_token_output,
 }
 
 ORACLES: dict[str, str] = {
