@@ -42,9 +42,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in an array of bytes."""
-    edge = np.diff(np.concatenate(([True], BLANK[data], [True])).astype(np.int8))
+    edge = np.diff(np.concatenate(([True], blank[data], [True])).astype(np.int8))
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
@@ -56,38 +56,38 @@ def hashes_of_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return mixed((sums[ends] - sums[starts]) * down[starts] + lengths * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def chunks(text: bytes) -> Iterator[bytes]:
-    """``text`` in parts of about CHUNK bytes, cut at white space."""
+def chunks(text: bytes, blank: np.ndarray) -> Iterator[bytes]:
+    """``text`` in parts of about CHUNK bytes, cut between words."""
     at = 0
     while at < len(text):
         end = at + CHUNK
-        while end < len(text) and not BLANK[text[end]]:
+        while end < len(text) and not blank[text[end]]:
             end += 1
         yield text[at:end]
         at = end
 
 
-def word_hashes(texts: Sequence[bytes]) -> Iterator[np.ndarray]:
-    """The word hashes of each text, in order."""
+def word_hashes(texts: Sequence[bytes], blank: np.ndarray = BLANK) -> Iterator[np.ndarray]:
+    """The word hashes of each text, in order; ``blank`` tells the bytes between words."""
     held: list[bytes] = []
     size = 0
     for text in texts:
         if held and size + len(text) > CHUNK:
-            yield from _hashed_together(held)
+            yield from _hashed_together(held, blank)
             held, size = [], 0
         if len(text) > CHUNK:
-            parts = [_hashed_together([c]) for c in chunks(text)]
+            parts = [_hashed_together([c], blank) for c in chunks(text, blank)]
             yield np.concatenate([p[0] for p in parts])
         else:
             held.append(text)
             size += len(text) + 1
     if held:
-        yield from _hashed_together(held)
+        yield from _hashed_together(held, blank)
 
 
-def _hashed_together(texts: list[bytes]) -> list[np.ndarray]:
+def _hashed_together(texts: list[bytes], blank: np.ndarray) -> list[np.ndarray]:
     data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
-    starts, ends = word_spans(data)
+    starts, ends = word_spans(data, blank)
     found = hashes_of_spans(data, starts, ends)
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
     cuts = np.searchsorted(starts, at)

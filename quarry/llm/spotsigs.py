@@ -1,10 +1,12 @@
 """Document fingerprints by SpotSigs.
 
-An anchor is an occurrence of a common word.  Its signature is the anchor with
-the next three content words (words that aren't common) behind it.  A text's
-fingerprint is the set of its signatures as sorted 32-bit hashes, so fingerprints
-compare by Jaccard similarity without their texts.  Short texts and texts
-without anchors use the chains of two words that start at every word.
+Words are runs of letters and digits.  An anchor is an occurrence of a common
+word; its signature is the anchor with the next three content words (words that
+aren't common) behind it.  A text's fingerprint is the multiset of its
+signatures, a repeated one marked by how often it came before, as sorted 32-bit
+hashes; so fingerprints compare by Jaccard similarity without their texts.  Short
+texts and texts with few anchors add the chains of two words that start at
+every word.
 
 Comparison is pruned by set length first: sets of sizes m <= n can't be more alike
 than m / n, so sets fall into length classes of which only neighbours can reach
@@ -37,9 +39,11 @@ qui sa sans se ses son sont sur un une vous
 al con como del el ella ellos era es esta este esto fue ha hay las lo los más me mi muy para pero por porque
 según ser si sin sobre su sus también tiene todo una uno y ya""".split()
 CHAIN = 3
-SHORT_WORDS = 40
-ANCHORS = np.unique(np.concatenate(list(word_hashes([w.encode() for w in COMMON]))))
-FACTORS = np.random.default_rng(4).integers(1, 1 << 63, CHAIN + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts of fewer words, or with a smaller part of anchors among them, add chains from every word.
+SHORT_WORDS, FEW_ANCHORS = 40, 0.15
+BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+ANCHORS = np.unique(np.concatenate(list(word_hashes([w.encode() for w in COMMON], BETWEEN))))
+FACTORS = np.random.default_rng(4).integers(1, 1 << 63, CHAIN + 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signatures(words: np.ndarray) -> np.ndarray:
@@ -47,20 +51,21 @@ def signatures(words: np.ndarray) -> np.ndarray:
     n = len(words)
     if n == 0:
         return np.zeros(0, dtype=np.uint32)
-    if n >= SHORT_WORDS:
-        at = np.minimum(np.searchsorted(ANCHORS, words), len(ANCHORS) - 1)
-        common = ANCHORS[at] == words
-        content, anchors = np.flatnonzero(~common), np.flatnonzero(common)
-        first = np.searchsorted(content, anchors)
-        fits = first + CHAIN <= len(content)
-        anchors, first = anchors[fits], first[fits]
-        if len(anchors):
-            total = words[anchors] * FACTORS[0]
-            for k in range(CHAIN):
-                total += words[content[first + k]] * FACTORS[k + 1]
-            return np.unique((mixed(total) >> np.uint64(32)).astype(np.uint32))
-    pairs = words[:-1] * FACTORS[0] + words[1:] * FACTORS[-1] if n > 1 else words * FACTORS[0]
-    return np.unique((mixed(pairs) >> np.uint64(32)).astype(np.uint32))
+    at = np.minimum(np.searchsorted(ANCHORS, words), len(ANCHORS) - 1)
+    common = ANCHORS[at] == words
+    content, anchors = np.flatnonzero(~common), np.flatnonzero(common)
+    first = np.searchsorted(content, anchors)
+    fits = first + CHAIN <= len(content)
+    anchors, first = anchors[fits], first[fits]
+    chains = words[anchors] * FACTORS[0]
+    for k in range(CHAIN):
+        chains += words[content[first + k]] * FACTORS[k + 1]
+    if n < SHORT_WORDS or len(anchors) < FEW_ANCHORS * n:
+        every = words[:-1] * FACTORS[CHAIN + 1] + words[1:] * FACTORS[CHAIN + 2] if n > 1 else words * FACTORS[CHAIN + 1]
+        chains = np.concatenate((chains, every))
+    chains.sort()
+    before = np.arange(len(chains)) - np.searchsorted(chains, chains)
+    return np.unique((mixed(chains + before.astype(np.uint64) * FACTORS[CHAIN + 3]) >> np.uint64(32)).astype(np.uint32))
 
 
 def encoded(signs: np.ndarray) -> str:
@@ -151,11 +156,11 @@ def fingerprints(
         for batch in batches:
             for part in slices(batch):
                 got = list(zip(*(c.to_pylist() for c in part.columns), strict=True))
-                signs = [signatures(w) for w in word_hashes([r[1].encode() for r in got])]
+                signs = [signatures(w) for w in word_hashes([r[1].encode() for r in got], BETWEEN)]
                 chain = [held] * (held is not None) + [(*r, s) for r, s in zip(got, signs, strict=True)]
                 pairs = [(x, y) for x, y in zip(chain, chain[1:], strict=False) if not x[3]]
                 texts = [edited(x[1], y[1]).encode() for x, y in pairs]
-                changed = [signatures(w) for w in word_hashes(texts)]
+                changed = [signatures(w) for w in word_hashes(texts, BETWEEN)]
                 held = chain[-1]
                 out = [
                     (

@@ -20,13 +20,32 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Pieces that a worker remembers, about 200 bytes each; further pieces are encoded anew in each batch.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_000_000
 #: White space or the end after a space: the run of white space would span two pieces.
 OPEN_RUN = re.compile(
     rb" (?:[ \t-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)"
 )
-ENDING = b",.;:!?"
-LETTERS = re.compile(rb"[A-Za-z]+\Z")
+#: What may be letters, then ASCII punctuation.
+WORD_AND_MARKS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
+
+
+def between_words(piece: bytes) -> list[bytes] | None:
+    """The two sides of the only line feed in ``piece``, if no other white space is next to it."""
+    sides = piece.split(b"\n")
+    if len(sides) != 2 or not all(sides):
+        return None
+    before, after = (s.decode() for s in sides)
+    return None if before[-1].isspace() or after[0].isspace() else sides
+
+
+def byte_signs() -> dict[int, str]:
+    """The printable character by which byte-level tokenizers name each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs = {b: chr(b) for b in shown}
+    return signs | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in signs)}
+
+
+SIGNS = byte_signs()
 
 
 def kind_of(settings: dict) -> str:
@@ -45,7 +64,11 @@ def kind_of(settings: dict) -> str:
 
 
 class Pieces:
-    """A tokenizer with the ids of the pieces that it has met."""
+    """A tokenizer with the ids of the pieces that it has met.
+
+    A piece that is a word of letters, perhaps with punctuation after it, goes to
+    the tokenizer's model part by part, as its own cutting rules would have it.
+    """
 
     def __init__(self, source: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,49 +77,72 @@ class Pieces:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = kind_of(json.loads(source))
+        self.lead = " " if self.kind == "spaced" else ""
+        #: Ids of pieces after a space, and of pieces without one.
         self.known: dict[bytes, bytes] = {}
-        self.lead = b" " if self.kind == "spaced" else b""
-        marked = "Ġ" if self.kind == "spaced" else ""  # the byte-level sign of a space
-        self.direct = lambda word: np.array([t.id for t in self.tokenizer.model.tokenize(marked + word)], "<u4").tobytes()
-        if any(self.direct(w) != self.whole(f"{self.lead.decode()}{w}") for w in ("the", "tionstandable", "zqxjkv")):
-            self.direct = None
+        self.bare: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        words = ("the", "tionstandable", "zqxjkv", "ñandú", "größe")
+        self.by_model = all(
+            self.of_model(w.encode(), lead) == self.whole(lead + w) for w in words for lead in {self.lead, ""}
+        )
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+    def of_model(self, word: bytes, lead: str) -> bytes:
+        named = (lead.encode() + word).decode("latin-1").translate(SIGNS)
+        return np.array([t.id for t in self.model.tokenize(named)], "<u4").tobytes()
+
+    def is_word(self, word: bytes) -> bool:
+        if word.isascii():
+            return True
+        text = word.decode()
+        # Letters only; where the tokenizer normalises, letters that it would leave alone.
+        return text.isalpha() and (self.kind == "spaced" or (max(text) < "\u0250" and text == text.lower()))
+
+    def learn(self, pieces: set[bytes], lead: str) -> dict[bytes, bytes]:
         """Ids of pieces that are not known; those that fit are remembered."""
+        known = self.known if lead == self.lead else self.bare
         new: dict[bytes, bytes] = {}
-        plain, rest = set(), []
+        rest = []
         for piece in pieces:
-            body = piece[:-1] if piece[-1:] in (b",", b".", b";", b":", b"!", b"?") else piece
-            if self.direct is not None and LETTERS.match(body):
-                plain.add(body)
+            match = WORD_AND_MARKS.fullmatch(piece) if self.by_model else None
+            if match is not None and self.is_word(word := match[1]):
+                ids = known.get(word) or new.get(word)
+                if ids is None:
+                    ids = new[word] = self.of_model(word, lead)
+                if match[2]:
+                    new[piece] = ids + self.marks(match[2])
+            elif self.kind == "spaced" and (parts := between_words(piece)):
+                # One line feed between two words: each part is cut off on its own.
+                new[piece] = self.one(parts[0], lead) + self.marks(b"\n") + self.one(parts[1], "")
             else:
                 rest.append(piece)
-        for body in plain:
-            if (ids := self.known.get(body)) is None:
-                ids = self.direct(body.decode())
-            new[body] = ids
-        endings = {bytes([e]): self.whole(chr(e)) for e in ENDING}
-        for piece in pieces - new.keys():
-            if piece[:-1] in plain and piece[-1:] in endings:
-                new[piece] = new[piece[:-1]] + endings[piece[-1:]]
         for start in range(0, len(rest), 400):
-            new.update(self.joined(rest[start : start + 400]))
-        if (room := CACHE_PIECES - len(self.known)) > 0:
-            self.known.update(list(new.items())[:room])
+            new.update(self.joined(rest[start : start + 400], lead))
+        if (room := CACHE_PIECES - len(self.known) - len(self.bare)) > 0:
+            known.update(list(new.items())[:room])
         return new
 
-    def joined(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+    def one(self, piece: bytes, lead: str) -> bytes:
+        known = self.known if lead == self.lead else self.bare
+        return known[piece] if piece in known else self.learn({piece}, lead)[piece]
+
+    def marks(self, text: bytes) -> bytes:
+        """Ids of punctuation or a line feed after a word."""
+        if (ids := self.bare.get(text)) is None:
+            ids = self.bare[text] = self.whole(text.decode())
+        return ids
+
+    def joined(self, pieces: list[bytes], lead: str) -> dict[bytes, bytes]:
         """Ids of pieces from one call: tokens go to the piece in which they start."""
-        texts = [(self.lead + p).decode() for p in pieces]
-        if self.kind == "spaced":
-            starts = np.cumsum([0, *map(len, texts)])
-            found = self.tokenizer.encode("".join(texts), add_special_tokens=False)
-        else:
-            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        texts = [lead + p.decode() for p in pieces]
+        if self.kind == "spaced" and not lead:
+            return {p: self.whole(t) for p, t in zip(pieces, texts, strict=True)}
+        between = "" if self.kind == "spaced" else " "
+        starts = np.cumsum([0, *(len(t) + len(between) for t in texts)])
+        found = self.tokenizer.encode(between.join(texts), add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
         at = np.array([o[0] for o in found.offsets], "i8")
         cuts = np.searchsorted(at, starts, "left")
@@ -106,7 +152,7 @@ class Pieces:
         """Ids of each UTF-8 text."""
         if self.kind == "whole":
             return [self.whole(t.decode()) for t in texts]
-        split: list[list[bytes] | None] = []
+        split: list[list[bytes]] = []
         heads: list[bytes] = []
         for text in texts:
             if self.kind == "words":
@@ -114,13 +160,13 @@ class Pieces:
                 split.append(text.lower().split())
             elif OPEN_RUN.search(text):
                 heads.append(self.whole(text.decode()))
-                split.append(None)
+                split.append([])
             else:
                 head, *pieces = text.split(b" ")
-                heads.append(self.whole(head.decode()) if head else b"")
+                heads.append(self.one(head, "") if head else b"")
                 split.append(pieces)
-        missing = set().union(*(p for p in split if p)) - self.known.keys()
-        new = self.learn(missing) if missing else {}
+        missing = set().union(*split) - self.known.keys()
+        new = self.learn(missing, self.lead) if missing else {}
         known = self.known
         out = []
         for head, pieces in zip(heads, split, strict=True):
