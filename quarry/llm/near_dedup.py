@@ -5,24 +5,28 @@
    class.
 2. 160 MinHash samples give 40 band keys of 4 samples.  Two documents with a
    Jaccard similarity of 0.75 share no key with a probability of 3e-7.
-3. The same samples are folded into an odd sketch, a bitmap of 512 parities.  The
-   population count of two sketches' XOR estimates a high similarity with a
-   standard error of about 0.045; pairs estimated below 0.5 are dropped.
+3. Finer MinHash samples, the least shingle hash in each of 2048 bins, are folded
+   into an odd sketch, a bitmap of 1024 parities.  The population count of two
+   sketches' XOR tells how many samples differ.  Pairs for which it is 5.5
+   standard errors above what a similarity of 0.75 would give are dropped; that
+   is about 0.67 for sets of a few hundred shingles.
 4. Pairs that are left are confirmed on their full shingle sets.
 
 Not all pairs of a bucket are formed.  First each bucket's members are paired
-with its smallest and largest member, confirmed, and joined to components.  Then
-only pairs from different components meet, inside a join whose condition is the
-sketch test.  Every two documents of a bucket are thus in one component or were
-compared.
+with its smallest and largest member, confirmed, and joined to components.  Where
+a bucket still holds several components, each member of a smaller one probes
+the larger ones: once per component, not per member.  A probe of a component of
+several documents meets them in blocks inside tasks, which emit one link for each
+probe at most.  Every two documents of a bucket are thus in one component or
+were compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,23 +38,17 @@ from quarry.llm.storage import materialize, once_per_id, small, text_or_empty, w
 
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
+SKETCH_BITS, BINS = 1024, 2048
 WORDS = SKETCH_BITS // 64
-#: Pairs whose estimated similarity is below this are not confirmed: 5.5 standard errors under 0.75.
-LEAST_ESTIMATE = 0.5
+#: Standard errors above the count that is expected at the least similarity, up to which pairs are confirmed.
+MARGIN = 5.5
+#: Documents of each side that meet in one task.
+BLOCK = 256
 _random = np.random.default_rng(160)
 FACTORS = _random.integers(0, 1 << 31, (SAMPLES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _random.integers(0, 1 << 32, (SAMPLES, 1), dtype=np.uint32)
 BAND_FACTORS = _random.integers(1, 1 << 63, (1, BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BAND_SALT = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
-SAMPLE_SALT = mixed(np.arange(1001, SAMPLES + 1001, dtype=np.uint64))
-
-
-def most_differing_bits(estimate: float) -> int:
-    """Largest XOR population count whose estimate 1 + n / 4k * ln(1 - 2 count / n) reaches ``estimate``."""
-    return math.floor(SKETCH_BITS / 2 * (1 - math.exp((estimate - 1) * 4 * SAMPLES / SKETCH_BITS)))
-
-
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
     """The least of each of SAMPLES permutations over the set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -66,23 +64,27 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mixed((bands * BAND_FACTORS).sum(axis=2, dtype=np.uint64) + BAND_SALT).view(np.int64)
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of rows of samples, as WORDS 64-bit numbers each."""
-    bit = (mixed(samples.astype(np.uint64) + SAMPLE_SALT) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    rows = np.arange(len(samples))[:, None] * SKETCH_BITS
-    parity = np.bincount((bit + rows).ravel(), minlength=len(samples) * SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(len(samples), SKETCH_BITS), axis=1).view(np.int64)
+def odd_sketch(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """Parity bitmap of the least hash of each bin, as WORDS 64-bit numbers, and the number of bins used."""
+    least = np.full(BINS, -1, dtype=np.int64)
+    places = (shingles & np.uint64(BINS - 1)).astype(np.int64)
+    least[places[::-1]] = np.arange(len(shingles) - 1, -1, -1)  # sets are sorted: the first of a bin is its least
+    samples = shingles[least[least >= 0]]
+    bit = (mixed(samples) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    parity = np.bincount(bit, minlength=SKETCH_BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64), len(samples)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, digest, keys, s0..s7) of each document; digest, keys and sketch are null without words."""
+    """(doc_id, n, digest, keys, bins, s0..s15) of each document; digest and keys are null without words."""
     names = [f"s{i}" for i in range(WORDS)]
 
     def task():
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingle_set(w) for w in word_hashes(batch.column(1).cast(pa.binary()).to_pylist())]
             samples = np.array([min_hashes(s) for s in sets]).reshape(-1, SAMPLES)
-            keys, sketches = band_keys(samples), odd_sketches(samples)
+            keys, sketches = band_keys(samples), [odd_sketch(s) for s in sets]
+            words = np.array([w for w, _ in sketches]).reshape(-1, WORDS)
             full = [len(s) > 0 for s in sets]
             out = {
                 "doc_id": batch.column(0),
@@ -90,20 +92,99 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 "digest": [hashlib.blake2b(s, digest_size=16).digest() if f else None for s, f in zip(sets, full, strict=True)],
                 "keys": [k if f else None for k, f in zip(keys, full, strict=True)],
             }
-            return out | {c: sketches[:, i] for i, c in enumerate(names)}
+            out["bins"] = [b for _, b in sketches]
+            return out | {c: words[:, i] for i, c in enumerate(names)}
 
         return work
 
-    schema = "doc_id long, n long, digest binary, keys array<long>, " + ", ".join(f"{c} long" for c in names)
+    schema = "doc_id long, n long, digest binary, keys array<long>, bins int, " + ", ".join(f"{c} long" for c in names)
     return map_batches(docs.select(F.col(id_col).cast("long"), text_or_empty(text_col)), schema, task)
 
 
-def differing_bits(left: str, right: str) -> Column:
-    counts = [F.bit_count(F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))) for i in range(WORDS)]
+def allowed_bits(n1, n2, bins1, bins2, percent: int, exp, sqrt, larger):
+    """Most differing parities that leave a similarity of ``percent`` possible, for columns or arrays.
+
+    At similarity j the union has u = (n1 + n2) / (1 + j) shingles, which use about
+    b = BINS (1 - exp(-u / BINS)) bins; in j b of them both sets have one sample.
+    The other samples, d in number, set about m/2 (1 - exp(-2 d / m)) of m parities.
+    """
+    j, m = percent / 100, float(SKETCH_BITS)
+    union = (n1 + n2) / (1 + j)
+    bins = (1 - exp(-union / BINS)) * BINS
+    spread = 4 * j * (1 - j) * bins * (1 - bins / union) + union * union / (6 * BINS)
+    differ = larger(bins1 + bins2 - 2 * j * bins) + MARGIN * sqrt(larger(spread)) + 2
+    folded = (1 - exp(differ * (-2 / m))) * (m / 2)
+    noise = (1 - exp(differ * (-4 / m)) * (1 + differ * (4 / m))) * (m / 4)
+    return folded + MARGIN * sqrt(noise)
+
+
+def may_be_similar(left: str, right: str, percent: int) -> Column:
+    """Whether lengths and odd sketches of two rows leave a similarity of ``percent`` possible."""
+    x, y = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
+    counts = [F.bit_count(x(f"s{i}").bitwiseXOR(y(f"s{i}"))) for i in range(WORDS)]
     total = counts[0]
     for c in counts[1:]:
         total = total + c
-    return total
+    sizes = 100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))
+    bits = allowed_bits(x("n"), y("n"), x("bins"), y("bins"), percent, F.exp, F.sqrt, lambda c: F.greatest(F.lit(0.0), c))
+    return sizes & (total <= bits)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def links_in_block(probes: list[np.ndarray], members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """The first link of each probe to a member, after the tests of length and sketch."""
+    made = [[odd_sketch(s) for s in side] for side in (probes, members)]
+    bits = [np.array([w for w, _ in side]).view(np.uint64).reshape(-1, WORDS) for side in made]
+    used = [np.array([b for _, b in side], dtype=float) for side in made]
+    size = [np.array([len(s) for s in side], dtype=float) for side in (probes, members)]
+    out = []
+    for i in range(len(probes)):
+        differ = np.bitwise_count(bits[1] ^ bits[0][i]).sum(axis=1)
+        near = differ <= allowed_bits(
+            size[0][i], size[1], used[0][i], used[1], percent, np.exp, np.sqrt, lambda v: np.maximum(v, 0.0)
+        )
+        near &= 100 * np.minimum(size[0][i], size[1]) >= percent * np.maximum(size[0][i], size[1])
+        for k in np.flatnonzero(near)[np.argsort(differ[near], kind="stable")]:
+            if similar(probes[i], members[k], percent):
+                out.append((i, int(k)))
+                break
+    return out
+
+
+def component_links(probes: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Links (a, b) of probes (rep, component) to members of their components, one for each block at most."""
+    probed = probes.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("probe_blocks"))
+    sizes = labels.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("member_blocks"))
+    blocks = materialize(probed.join(sizes, "component"), "blocks")
+    n_blocks = blocks.count()
+
+    def dealt(rows: DataFrame, own: str, other: str, role: int) -> DataFrame:
+        """Rows in a block of their own side, once for each block of the other side."""
+        placed = rows.join(small(blocks, n_blocks), "component")
+        block = F.pmod(F.xxhash64("id"), F.col(f"{own}_blocks")).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other)
+        return placed.select("component", "id", F.lit(role).alias("role"), block, every)
+
+    sides = dealt(labels.select("component", F.col("node").alias("id")), "member", "probe", 0).unionByName(
+        dealt(probes.select("component", F.col("rep").alias("id")), "probe", "member", 1)
+    )
+    sides = materialize(sides, "sides")
+    ids = materialize(sides.select("id").distinct(), "ids")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    rows = sides.join(texts.join(small(ids, ids.count()), "id", "left_semi"), "id")
+
+    def check(block: pd.DataFrame) -> pd.DataFrame:
+        split = [block[block["role"] == role] for role in (1, 0)]
+        names = [side["id"].to_list() for side in split]
+        sets = [[shingle_set(w) for w in word_hashes([t.encode() for t in side["text"]])] for side in split]
+        found = links_in_block(*sets, percent)
+        return pd.DataFrame({"a": [names[0][i] for i, _ in found], "b": [names[1][k] for _, k in found]}, dtype="int64")
+
+    return materialize(rows.groupBy("component", "member", "probe").applyInPandas(check, "a long, b long"), "more")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -127,9 +208,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
                 new = dict(new)
                 known.update(zip(new, (shingle_set(w) for w in word_hashes(list(new.values()))), strict=True))
             for i, j in zip(a, b, strict=True):
-                x, y = known[i], known[j]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                if similar(known[i], known[j], percent):
                     linked[0].append(i)
                     linked[1].append(j)
             return {"a": linked[0], "b": linked[1]}
@@ -161,7 +240,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = as_class.filter("rep < doc_id").select(F.col("doc_id").alias("other"))
     n_others = others.count()
     reps = with_id.join(small(others, n_others), F.col("doc_id") == F.col("other"), "left_anti").dropDuplicates(["doc_id"])
-    sketches = [f"s{i}" for i in range(WORDS)]
+    sketches = ["n", "bins", *(f"s{i}" for i in range(WORDS))]
     reps = materialize(reps.select(F.col("doc_id").alias("rep"), "keys", *sketches), "representatives")
 
     keyed = reps.select("rep", F.explode("keys").alias("key"))
@@ -171,33 +250,41 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = materialize(keyed.join(small(ends, n_ends), "key"), "members")
     stars = members.select("rep", F.explode(F.array("low", "high")).alias("end")).filter("rep <> end")
     stars = stars.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
-    cut = most_differing_bits(LEAST_ESTIMATE)
     marks = reps.select("rep", *sketches)
     likely = (
         stars.join(marks.withColumnRenamed("rep", "a").alias("x"), "a")
         .join(marks.withColumnRenamed("rep", "b").alias("y"), "b")
-        .filter(differing_bits("x", "y") <= cut)
+        .filter(may_be_similar("x", "y", percent))
         .select("a", "b")
     )
     links = confirmed(materialize(likely, "likely"), docs, id_col, text_col, percent)
     labels = materialize(components(links), "labels")
     n_labels = labels.count()
 
-    # Buckets that still hold several components: their members meet across components.
-    labelled = members.select("key", "rep").join(small(labels, n_labels), F.col("rep") == F.col("node"), "left")
-    labelled = labelled.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    # Buckets that still hold several components: smaller ones probe larger ones.
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sized = materialize(labels.join(sizes, "component"), "sized")
+    labelled = members.select("key", "rep").join(small(sized, n_labels), F.col("rep") == F.col("node"), "left")
+    labelled = labelled.select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
     labelled = materialize(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_keys = materialize(open_keys.filter("least < most").select("key", "least"), "open")
+    open_keys = materialize(open_keys.filter("least < most").select("key"), "open")
     n_open = open_keys.count()
-    meeting = materialize(labelled.join(small(open_keys, n_open), "key").join(marks, "rep"), "meeting")
-    left, right = meeting.filter("component <> least").alias("x"), meeting.alias("y")
-    apart = F.col("x.component") != F.col("y.component")
-    order = (F.col("x.rep") < F.col("y.rep")) | (F.col("y.component") == F.col("y.least"))
-    met = left.join(right, (F.col("x.key") == F.col("y.key")) & apart & order & (differing_bits("x", "y") <= cut))
-    met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    met = materialize(met.join(stars, ["a", "b"], "left_anti"), "met")
-    more = confirmed(met, docs, id_col, text_col, percent)
+    meeting = materialize(labelled.join(small(open_keys, n_open), "key", "left_semi").join(marks, "rep"), "meeting")
+    larger = meeting.filter("size = 1").unionByName(
+        meeting.filter("size > 1").select("key", "component", "size").distinct(), allowMissingColumns=True
+    )
+    x, y = meeting.alias("x"), larger.alias("y")
+    order = F.struct("x.size", "x.component") < F.struct("y.size", "y.component")
+    possible = (F.col("y.size") > 1) | may_be_similar("x", "y", percent)
+    probes = x.join(y, (F.col("x.key") == F.col("y.key")) & order & possible)
+    probes = probes.select("x.rep", "y.component", "y.size").distinct()
+    probes = materialize(probes, "probes")
+    single = probes.filter("size = 1").select(F.least("rep", "component").alias("a"), F.greatest("rep", "component").alias("b"))
+    single = materialize(single.join(stars, ["a", "b"], "left_anti"), "single")
+    more = confirmed(single, docs, id_col, text_col, percent)
+    several = probes.filter("size > 1").select("rep", "component")
+    more = more.unionByName(component_links(several, labels, docs, id_col, text_col, percent))
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "labels")
         n_labels = labels.count()
