@@ -55,6 +55,7 @@ IMPLIED_END = {
     "head": frozenset({"body"}),
 }
 SCOPES = frozenset({"table", "ul", "ol", "dl", "select", "article", "section", "main", "aside", "nav", "form", "div"})
+CONTAINERS = frozenset({"", "html", "body", "div", "section", "td", "center"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 UNFINISHED = re.compile(r"<(?:[A-Za-z/!?][^<>]*)?\Z")
@@ -95,7 +96,7 @@ class PageLines(HTMLParser):
         self.top = Element("", None, False, False, False)
         self.open, self.lines, self.elements = [self.top], [], [self.top]
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = self.links = self.muted = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -133,6 +134,7 @@ class PageLines(HTMLParser):
         self.open.append(element)
         self.elements.append(element)
         self.links += tag == "a"
+        self.muted += element.skipped and tag not in BLOCK_TAGS
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
@@ -147,6 +149,8 @@ class PageLines(HTMLParser):
                 return  # a stray end tag of an inline element
 
     def handle_data(self, data: str) -> None:
+        if self.muted:  # within a script, a style or another inline element that doesn't count
+            return
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
@@ -162,6 +166,7 @@ class PageLines(HTMLParser):
 
     def close_from(self, depth: int) -> None:
         self.links -= sum(e.tag == "a" for e in self.open[depth:])
+        self.muted -= sum(e.skipped and e.tag not in BLOCK_TAGS for e in self.open[depth:])
         del self.open[depth:]
 
 
@@ -205,23 +210,26 @@ def main_text(html: str | None) -> str:
     for element in reversed(page.elements[1:]):  # children come after their parents
         element.parent.chars += element.chars
     whole = page.top.chars
+    # An article under no telling name: then names remove elements whatever these hold.
+    plain = any(e.articles and e.articles[-1] is e and not any(x.named for x in e.path()) for e in page.elements)
+
+    def by_name(e: Element) -> bool:
+        """Whether its name removes ``e``; else not if it has an article or most of the page."""
+        return e.named and (plain or (not e.holds_article and e.chars <= 0.7 * whole))
 
     def kept(e: Element) -> bool:
         """Whether nothing at or above ``e`` removes its text."""
         if e.kept is None:
-            # A name alone does not remove an element that has the article or most of the page.
-            named = e.named and not e.holds_article and e.chars <= 0.7 * whole
             skipped = e.skipped and not (e.tag == "header" and e.articles)
-            e.kept = not named and not skipped and (e.parent is None or kept(e.parent))
+            e.kept = not by_name(e) and not skipped and (e.parent is None or kept(e.parent))
             if e.kept and not e.heading:  # an article's own header keeps its headings only
                 e.kept = not any(x.tag == "header" for x in e.path())
         return e.kept
 
     def headed(e: Element) -> bool:
         """As kept(), for a heading in a header of the article."""
-        named = e.named and not e.holds_article and e.chars <= 0.7 * whole
         skipped = e.skipped and not (e.tag == "header" and e.articles)
-        return not named and not skipped and (e.parent is None or headed(e.parent))
+        return not by_name(e) and not skipped and (e.parent is None or headed(e.parent))
 
     live = [x for x in page.lines if (headed(x.element) if x.element.heading else kept(x.element))]
     if not live:
@@ -238,8 +246,9 @@ def main_text(html: str | None) -> str:
         # Real articles go before other elements; of an article and one that it encloses, the outer.
         best = max(articles, key=lambda e: (e.tag == "article", e.mass))
     else:
-        # No such element: the smallest one with nearly all dense text.
-        best = next(e for e in live[dense[-1]].element.path() if e.mass >= 0.9 * page.top.mass)
+        # No such element: the smallest container with nearly all dense text.
+        holders = (e for e in live[dense[-1]].element.path() if e.tag in CONTAINERS)
+        best = next(e for e in holders if e.mass >= 0.9 * page.top.mass)
     own = [x for x in live if best in x.element.path()]
     if not articles and best.tag in ("", "html", "body"):
         own = [x for x in own if 2 * x.linked < len(x.text)]  # a page without structure: no lines of links
