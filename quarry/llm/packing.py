@@ -54,6 +54,11 @@ class Stock:
             del self.count[size]
             self.sizes.remove(size)
 
+    def put(self, size: int, n: int) -> None:
+        if size not in self.count:
+            bisect.insort(self.sizes, size)
+        self.count[size] = self.count.get(size, 0) + n
+
     def largest(self, room: int) -> int | None:
         at = bisect.bisect_right(self.sizes, room)
         return self.sizes[at - 1] if at else None
@@ -83,7 +88,7 @@ class Stock:
 
 
 def dominating(stock: Stock, room: int) -> tuple[int, ...] | None:
-    """Items that with the current largest one dominate all other ways to use ``room``.
+    """Items of ``stock`` that with the current one dominate all other ways to use its ``room``.
 
     A set dominates another if the other's items can be dealt to its items
     without exceeding them.  One item does so if no total that fits is larger.
@@ -108,29 +113,27 @@ def dominating(stock: Stock, room: int) -> tuple[int, ...] | None:
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:
-    """Patterns fixed by dominance, and the counts of the items that are left."""
-    stock, fixed, left = Stock(counts), [], {}
-    while stock.sizes:
-        size = stock.sizes[-1]
-        n = stock.count[size]
-        stock.take(size, 1)
-        others = dominating(stock, capacity - size)
-        if others is None:
-            if n > 1:
-                stock.take(size, n - 1)
-            left[size] = n
-            continue
-        items: dict[int, int] = {size: 1}
-        for o in others:
-            items[o] = items.get(o, 0) + 1
-        stock.count[size] = stock.count.get(size, 0) + 1
-        if stock.sizes[-1:] != [size]:
-            stock.sizes.append(size)
-        times = min(stock.count[s] // k for s, k in items.items())
-        for s, k in items.items():
-            stock.take(s, times * k)
-        fixed.append(Pattern(times, sorted(items.items(), reverse=True)))
-    return fixed, left
+    """Patterns fixed by dominance, and the counts of the items that are left.
+
+    An item that nothing dominates stays in the instance, as a partner and as an
+    alternative for the smaller ones.
+    """
+    stock, fixed = Stock(counts), []
+    for size in sorted(counts, reverse=True):
+        while size in stock.count:
+            stock.take(size, 1)
+            others = dominating(stock, capacity - size)
+            stock.put(size, 1)
+            if others is None:
+                break
+            items: dict[int, int] = {size: 1}
+            for o in others:
+                items[o] = items.get(o, 0) + 1
+            times = min(stock.count[s] // k for s, k in items.items())
+            for s, k in items.items():
+                stock.take(s, times * k)
+            fixed.append(Pattern(times, sorted(items.items(), reverse=True)))
+    return fixed, dict(stock.count)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
