@@ -131,7 +131,7 @@ def with_followers(docs: DataFrame, id_col: str, text_col: str, part_bytes: int)
             F.lit(None).cast("long").alias("doc_id"), "text", "place", borrower[F.col("part")].alias("part"), F.lit(1).alias("borrowed")
         )
         rows = rows.unionByName(extra)
-    dealt = rows.repartition(max(1, len(bounds) + 1), "part")
+    dealt = rows.repartitionById(len(bounds) + 1, "part")
     return dealt.sortWithinPartitions("part", "borrowed", F.desc("place"), "text").select("doc_id", "text", "part", "borrowed")
 
 
