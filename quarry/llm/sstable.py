@@ -43,7 +43,7 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES = 256 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Text bytes of a shard, about.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 16 << 20
 MANIFEST = "part int, file string, first_id long, last_id long, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -210,7 +210,7 @@ def write_tokens(
     parts = max(1, -(-total // shard_bytes), min(spark.sparkContext.defaultParallelism, total // (1 << 20)))
     bounds = splitters(weighted_sample(sized, ["place"], "size", 32 * parts), parts)
     placed = base.withColumn("part", range_of([F.coalesce("doc_id", F.lit(-(1 << 63)))], bounds))
-    ordered = placed.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
+    ordered = placed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
     sent = spark.sparkContext.broadcast(tokenizer)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -261,7 +261,7 @@ def read_tokens(spark: SparkSession, folder: str, *, with_ids: bool = False) ->
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     listed = shards.select("part", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
     rows = shards.count()
-    dealt = listed.repartition(max(1, rows), "part")
+    dealt = listed.repartitionById(max(1, rows), "part")
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * with_ids
 

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Pieces that a worker remembers, about 200 bytes each; further pieces are encoded anew in each batch.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 700_000
 #: White space or the end after a space: the run of white space would span two pieces.
 OPEN_RUN = re.compile(
     rb" (?:[ \t-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)"
