@@ -31,7 +31,8 @@ BEGINNINGS = range(3, 9)
 #: Lexicon entries, at most; the strongest stay.
 LEXICON_ENTRIES = 20_000
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-MASKED = re.compile(r"[^\W\d_]+(?:[\d@$!*#+]+[^\W\d_]+)+|(?:\b[^\W\d_][.\-_* ]){3,}[^\W\d_]\b")
+MASKED = re.compile(r"[^\W\d_][\d@$!*#+]+[^\W\d_]")
+SPACED_OUT = re.compile(r"(?:(?<!\w)[^\W\d_][.\-* ]){3,}[^\W\d_](?!\w)")
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 # Second-person pronouns in English, German, French and Spanish.
 SECOND_PERSON = frozenset(
@@ -39,7 +40,8 @@ SECOND_PERSON = frozenset(
     votre vos ti contigo tuyo tuya usted ustedes vosotros""".split()
 )
 NEAR = 6
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
+NOTHING = (0.0, False)
 
 
 def grams_of(word: str) -> list[str]:
@@ -52,15 +54,17 @@ class Lexicon:
 
     def __init__(self, odds: dict[str, float]):
         self.odds = odds
-        self.memo: dict[str, float] = {}
+        self.memo: dict[str, tuple[float, bool]] = {}
 
-    def weight(self, word: str) -> float:
-        if (w := self.memo.get(word)) is None:
+    def look_up(self, word: str) -> tuple[float, bool]:
+        """A lower-case word's weight, and whether a letter is stretched in it."""
+        if (found := self.memo.get(word)) is None:
             odds = self.odds
-            w = max((odds.get(g, 0.0) for g in grams_of(word)), default=0.0)
+            found = max(odds.get(g, 0.0) for g in grams_of(word)), STRETCHED.search(word) is not None
+            found = NOTHING if found == NOTHING else found  # one object for most words
             if len(self.memo) < MEMO_WORDS:
-                self.memo[word] = w
-        return w
+                self.memo[word] = found
+        return found
 
 
 def learned(counts: dict[str, np.ndarray], totals: np.ndarray, fold: int | None) -> dict[str, float]:
@@ -82,9 +86,9 @@ FEATURES = 18
 def features(text: str, lexicon: Lexicon) -> list[float]:
     words = WORD.findall(text)
     n = len(words)
-    weights = [lexicon.weight(w) for w in map(str.lower, words)]
-    hits = [i for i, w in enumerate(weights) if w]
-    found = [weights[i] for i in hits]
+    known = [lexicon.look_up(w) for w in map(str.lower, words)]
+    hits = [i for i, (w, _) in enumerate(known) if w]
+    found = [known[i][0] for i in hits]
     kinds = {words[i].lower() for i in hits}
     you = [i for i, w in enumerate(words) if len(w) < 12 and w.lower() in SECOND_PERSON] if hits else []
     near = int(sum(1 for i in hits if _nearest(you, i) <= NEAR)) if you else 0
@@ -93,8 +97,8 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     upper = sum(1 for w in words if len(w) > 1 and w.isupper())
     marks = text.count("!") + text.count("?")
     stops = text.count(".") + text.count(",") + text.count(";") + text.count(":")
-    masked = len(MASKED.findall(text)) if hits or n < 5000 else 0
-    stretched = len(STRETCHED.findall(text)) if n < 5000 else 0
+    masked = len(MASKED.findall(text)) + len(SPACED_OUT.findall(text))
+    stretched = sum(s for _, s in known)
     each = 1 / max(1, n)
     return [
         len(hits) * each,
