@@ -18,7 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import materialize, once_per_id, scratch, small, text_or_empty, without_ids
+from quarry.llm.row_verdicts import drop_lost
+from quarry.llm.storage import materialize, scratch, small, text_or_empty
 
 #: The white space that does not count: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -133,7 +134,12 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
-    verdict = exact_groups(docs, id_col, text_col, **options)
-    lost = verdict.filter(~F.col("kept")).select("doc_id")
-    return once_per_id(without_ids(docs, lost, id_col), id_col)
+    """``docs`` with one row of each group of equal texts, all columns kept.
+
+    Null and repeated ids change nothing: each row counts by its own text.
+    """
+
+    def lost(rows: DataFrame, ids: str, texts: str) -> DataFrame:
+        return exact_groups(rows, ids, texts, **options).filter(~F.col("kept")).select("doc_id")
+
+    return drop_lost(docs, id_col, text_col, lost)

@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.arrow_map import map_batches
 from quarry.llm.components import components
+from quarry.llm.row_verdicts import drop_lost
 from quarry.llm.shingles import mixed, shingle_set, word_hashes
-from quarry.llm.storage import materialize, once_per_id, small, text_or_empty, without_ids
+from quarry.llm.storage import materialize, small, text_or_empty
 
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
@@ -299,7 +300,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, all columns kept."""
-    groups = near_groups(docs, id_col, text_col, percent=percent)
-    lost = groups.filter("not kept and doc_id is not null").select("doc_id")
-    return once_per_id(without_ids(docs, lost, id_col), id_col)
+    """``docs`` with one document of each near-duplicate group, all columns kept.
+
+    Rows of one id with different texts, and rows without an id, are documents of
+    their own; rows of equal id and text are one.
+    """
+
+    def lost(rows: DataFrame, ids: str, texts: str) -> DataFrame:
+        return near_groups(rows, ids, texts, percent=percent).filter("not kept").select("doc_id")
+
+    return drop_lost(docs, id_col, text_col, lost)

@@ -80,9 +80,3 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     ids = ids.toDF("_q_id").distinct()
     gone = materialize(ids, "dropped")
     return docs.join(small(gone, gone.count()), docs[id_col] == F.col("_q_id"), "left_anti")
-
-
-def once_per_id(docs: DataFrame, id_col: str) -> DataFrame:
-    """Drop repeated rows of an id; costs a shuffle only if there are any."""
-    repeats = docs.groupBy(id_col).count().filter("count > 1")
-    return docs if repeats.isEmpty() else docs.dropDuplicates([id_col])

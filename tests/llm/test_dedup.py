@@ -132,3 +132,19 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(30)}, 200: 200, 300: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_dropping_copies_judges_rows_without_ids_and_with_shared_ids(spark):
+    one, two, three, four, five = (prose(60 + i, 80) for i in range(5))
+    near = near_copy(one, 1, 1)
+    rows = [(None, one), (None, one), (None, two), (None, None), (7, three), (7, four), (7, four), (8, four + " "), (9, near), (5, five)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("nth", F.lit(1)).withColumn("part", F.lit("p"))
+    exact = drop_exact_copies(docs.repartition(4))
+    assert exact.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(5, five), (7, three), (8, four + " "), (9, near), (None, None), (None, one), (None, two)]
+    assert sorted(((r.doc_id, r.text) for r in exact.collect()), key=key) == sorted(want, key=key)
+    left = drop_near_copies(docs.repartition(4))
+    want = [(5, five), (7, three), (7, four), (9, near), (None, None), (None, two)]  # an id stays before none
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted(want, key=key)
