@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of 1024 tokens."""
-    return pack(docs, read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    return pack(docs, read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), special_tokens=True)
 
 
 STAGES = [

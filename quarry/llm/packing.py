@@ -201,14 +201,14 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenised_pieces(
-    docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, end_id: int, with_ids: bool
+    docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, end_id: int, with_ids: bool, special_tokens: bool
 ) -> DataFrame:
     """Pieces of all documents: (doc_id, piece, start, length, ids_crc32[, ids])."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
     end = np.array([end_id], "<u4").tobytes()
 
     def task():
-        encoder = pieces_for(sent.value)
+        encoder = pieces_for(sent.value, special_tokens)
 
         def work(batch: pa.RecordBatch) -> dict:
             ids = batch.column(0).to_pylist()
@@ -240,6 +240,7 @@ def pack(
     capacity: int = 1024,
     end_id: int = 2,
     with_ids: bool = False,
+    special_tokens: bool = False,
 ) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]).
 
@@ -248,9 +249,10 @@ def pack(
     than ``capacity`` tokens is cut into pieces of ``capacity``, the first one
     shorter where it doesn't come out even.  Within a sequence the offsets have
     no gaps.  Sequences are numbered from 0.  Repeated rows are documents of
-    their own.  An empty table gives no rows.
+    their own.  With ``special_tokens`` the string of a special token in a text is
+    that token, otherwise ordinary text.  An empty table gives no rows.
     """
-    pieces = materialize(tokenised_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids), "pieces")
+    pieces = materialize(tokenised_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids, special_tokens), "pieces")
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
     by_salt = materialize(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "counts")
     totals = by_salt.groupBy("length").agg(F.sum("n")).collect()  # one row for each size

@@ -50,7 +50,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    return pack(table(spark, sf_dir, "documents"), tokenizer)
+    return pack(table(spark, sf_dir, "documents"), tokenizer, special_tokens=True)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    return tokens_through_files(table(spark, sf_dir, "documents"), tokenizer)
+    return tokens_through_files(table(spark, sf_dir, "documents"), tokenizer, special_tokens=True)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,14 +193,16 @@ def write_tokens(
     *,
     end_id: int = 2,
     shard_bytes: int = SHARD_BYTES,
+    special_tokens: bool = False,
 ) -> DataFrame:
     """Write all documents as shards below ``folder`` (a URI) and return the manifest.
 
     ``tokenizer`` is the content of a tokenizers JSON file.  Shards cover ranges
     of ids from weighted samples, so each holds about ``shard_bytes`` of text; one
     id's rows stay in one shard.  Null ids come first; null and empty texts are
-    ``end_id`` alone; repeated rows are entries of their own.  An empty table
-    gives an empty manifest.
+    ``end_id`` alone; repeated rows are entries of their own.  With ``special_tokens``
+    the string of a special token in a text is that token, otherwise ordinary
+    text.  An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
@@ -215,7 +217,7 @@ def write_tokens(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces_for(sent.value)
+        encoder = pieces_for(sent.value, special_tokens)
         top = max(end_id, encoder.tokenizer.get_vocab_size(with_added_tokens=True) - 1)
         width = 2 if top < 1 << 16 else 4
         store, root = fs.FileSystem.from_uri(folder)

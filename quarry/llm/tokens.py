@@ -5,7 +5,9 @@ space, so a text is cut there into pieces, each distinct piece is encoded by
 the library once, and a text's ids are its pieces' ids put together.  What kind
 a tokenizer is follows from its own settings; any other kind encodes whole
 texts.  Texts with the rare white space for which cutting would change the ids
-are encoded whole, too.
+are encoded whole, too, and so are texts that hold the string of an added token.  That
+string is ordinary text, or with ``special_tokens`` the one id that the library's
+plain call gives it.
 
 Ids travel as little-endian unsigned 32-bit integers.
 """
@@ -70,13 +72,16 @@ class Pieces:
     the tokenizer's model part by part, as its own cutting rules would have it.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, special_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = kind_of(json.loads(source))
+        self.tokenizer.encode_special_tokens = not special_tokens  # True: their strings in a text are ordinary text
+        added = json.loads(source).get("added_tokens") or []
+        #: Strings of tokens that the library looks for before it cuts a text.
+        self.added = [t["content"].encode() for t in added if special_tokens or not t.get("special")]
+        self.kind = "whole" if any(t.get("normalized") for t in added) else kind_of(json.loads(source))
         self.lead = " " if self.kind == "spaced" else ""
         #: Ids of pieces after a space, and of pieces without one.
         self.known: dict[bytes, bytes] = {}
@@ -155,9 +160,13 @@ class Pieces:
         split: list[list[bytes]] = []
         heads: list[bytes] = []
         for text in texts:
-            if self.kind == "words":
+            lower = text.lower() if self.kind == "words" else text
+            if any(a in text or a in lower for a in self.added):
+                heads.append(self.whole(text.decode()))
+                split.append([])
+            elif self.kind == "words":
                 heads.append(b"")
-                split.append(text.lower().split())
+                split.append(lower.split())
             elif OPEN_RUN.search(text):
                 heads.append(self.whole(text.decode()))
                 split.append([])
@@ -179,15 +188,15 @@ class Pieces:
         return out
 
 
-_loaded: dict[int, Pieces] = {}
+_loaded: dict[tuple[int, bool], Pieces] = {}
 
 
-def pieces_for(source: str) -> Pieces:
+def pieces_for(source: str, special_tokens: bool = False) -> Pieces:
     """The worker's own Pieces for a tokenizer file's content, kept between tasks."""
-    key = hash(source)
+    key = hash(source), special_tokens
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Pieces(source)
+        _loaded[key] = Pieces(source, special_tokens)
     return _loaded[key]
 
 

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 from quarry.llm import packing, sstable
 from quarry.llm.mixing import mix, mixed_documents
 from quarry.llm.packing import pack, packed_sequences
+from quarry.llm.queries import op6_best_fit_packing, op8_token_output
 from quarry.llm.ranges import range_of, splitters, weighted_sample
 from quarry.llm.sharding import shard_by_bytes, water_level
 from quarry.llm.sstable import look_up, read_tokens, write_tokens
@@ -79,6 +81,47 @@ def test_piece_encoding_is_the_library_s(source):
     assert pieces_for(source) is pieces_for(source)
 
 
+SPECIAL = [
+    "a <|endoftext|> b",
+    "<|endoftext|>",
+    "x<|startoftext|>y <|endoftext|><|endoftext|>",
+    "A <|ENDOFTEXT|> <|EndOfText|>b",
+    " <|endoftext|>\n the end  ",
+    "<|endoftext|",
+]
+
+
+@pytest.mark.parametrize("source", [BYTE, WORD], ids=["byte", "word"])
+def test_special_tokens_are_the_unmodified_library_s(source):
+    pieces, plain = Pieces(source, special_tokens=True), Tokenizer.from_str(source)
+    r = random.Random(6)
+    alphabet = ["a", "The", " ", "  ", "\n", ".", "é", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "endoftext"]
+    texts = SPECIAL + [t or "" for t in HARD] + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 12))) for _ in range(1500)]
+    for _ in range(2):
+        got = pieces.encode([t.encode() for t in texts])
+        for t, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_queries_give_the_ids_of_the_unmodified_tokenizer(spark, tmp_path):
+    texts = SPECIAL + ["plain words", None]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def plain(source, text):
+        return [*Tokenizer.from_str(source).encode(text or "", add_special_tokens=False).ids, 2]
+
+    at = 0
+    for r in sorted(op8_token_output(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = plain(WORD, texts[r.doc_id])
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), texts[r.doc_id]
+        at += len(ids)
+    packing_stage = dict(corpus_pipeline.STAGES)["packing"](spark, table(spark, texts), str(tmp_path))
+    for packed in (op6_best_fit_packing(spark, str(tmp_path)), packing_stage):
+        got = {r.doc_id: (r.length, r.ids_crc32) for r in packed.collect()}
+        want = {i: plain(BYTE, t) for i, t in enumerate(texts)}
+        assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want.items()}
+
+
 def ids_of(source, text):
     t = Tokenizer.from_str(source)
     t.encode_special_tokens = True
