@@ -78,18 +78,22 @@ def mixing_plan(
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.least(F.floor(epochs), F.lit(max_epochs))
     sources = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    sources = materialize(sources, "targets")
-    n_sources, most = sources.agg(F.count(F.lit(1)), F.max("rows")).first()
-    bits = min(20, ((most or 1) // BUCKET_ROWS).bit_length())
+    # A source's buckets follow from its own rows, whatever the others hold: 62 - shift bits number them.
+    full = F.floor(F.col("rows") / BUCKET_ROWS)
+    bits = F.when(full > 0, F.least(F.length(F.bin(full)), F.lit(20))).otherwise(F.lit(0))
+    sources = materialize(sources.withColumn("shift", (62 - bits).cast("int")), "targets")
+    n_sources = sources.count()
+    shifts = sources.select(F.col("source").alias("of"), "shift")
     thrown = sized.select("source", "size", dice(F.col("doc_id"), seed).alias("u"))
-    thrown = thrown.withColumn("bucket", F.shiftright("u", 62 - bits))
+    thrown = thrown.join(small(shifts, n_sources), F.col("source").eqNullSafe(F.col("of")))
+    thrown = thrown.select("source", "size", "u", F.expr("shiftright(u, shift)").alias("bucket"))
     held = thrown.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
-    rest = sources.select(F.col("source").alias("of"), "rest")
+    rest = sources.select(F.col("source").alias("of"), "rest", "shift")
     at = held.join(small(rest, n_sources), F.col("source").eqNullSafe(F.col("of")))
     at = at.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") >= F.col("rest")))
-    below = F.shiftleft(F.col("bucket"), 62 - bits)
+    below = F.expr("shiftleft(bucket, shift)")
     at = at.select("of", "bucket", below.alias("below"), (F.col("rest") - F.col("before")).alias("room"))
     at = materialize(at, "cuts")
     # Only the documents of the bucket in which a source's rest is met are ordered.

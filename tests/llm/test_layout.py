@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import packing, sstable
+from quarry.llm import mixing, packing, sstable
 from quarry.llm.mixing import mix, mixed_documents
 from quarry.llm.packing import pack, packed_sequences
 from quarry.llm.queries import op6_best_fit_packing, op8_token_output
@@ -232,6 +232,28 @@ def test_mix_meets_its_targets(spark):
     assert all(copies[r.doc_id] * r.size == r.taken for r in got)
 
 
+def test_small_sources_fill_up_beside_a_hot_one(spark, monkeypatch):
+    """The rest of a source is filled by all its documents if they fit one bucket, whatever another source holds."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    r = random.Random(8)
+    sources = [*[f"s{k:02d}" for k in range(20) for _ in range(40)], *["hot"] * 6000]
+    docs = table(spark, [prose(i, r.randint(1, 40)) for i in range(len(sources))], sources)
+    rows = {}
+    weights = (3000, *range(10, 30))  # small sources get 0.5 to 1.5 times their size
+    for row in mix(docs, weights=weights).collect():
+        rows.setdefault(row.source, []).append(row)
+    parts = []
+    for name, of in rows.items():
+        room = of[0].target - sum(x.taken for x in of)
+        whole = min(x.taken // x.size for x in of)
+        left_out = [x.size for x in of if x.taken == whole * x.size]
+        assert -1e-6 <= room
+        if name != "hot":
+            assert not left_out or room < min(left_out), (name, room)
+            parts.append(room / of[0].source_size)
+    assert len(parts) == 20 and max(parts) < 0.01
+
+
 def test_mix_of_nothing(spark):
     assert mix(table(spark, [])).count() == 0
     blank = mix(table(spark, [None, " "])).collect()
