@@ -2,11 +2,11 @@
 
 Words are runs of letters and digits.  An anchor is an occurrence of a common
 word; its signature is the anchor with the next three content words (words that
-aren't common) behind it.  A text's fingerprint is the multiset of its
+aren't common) behind it.  Every word adds a chain of its own with the word
+behind it, in all texts alike, so that short texts and texts with few anchors
+have signatures, too, and no edit changes the scheme.  A text's fingerprint is the multiset of its
 signatures, a repeated one marked by how often it came before, as sorted 32-bit
-hashes; so fingerprints compare by Jaccard similarity without their texts.  Short
-texts and texts with few anchors add the chains of two words that start at
-every word.
+hashes; so fingerprints compare by Jaccard similarity without their texts.
 
 Comparison is pruned by set length first: sets of sizes m <= n can't be more alike
 than m / n, so sets fall into length classes of which only neighbours can reach
@@ -39,8 +39,6 @@ qui sa sans se ses son sont sur un une vous
 al con como del el ella ellos era es esta este esto fue ha hay las lo los más me mi muy para pero por porque
 según ser si sin sobre su sus también tiene todo una uno y ya""".split()
 CHAIN = 3
-#: Texts of fewer words, or with a smaller part of anchors among them, add chains from every word.
-SHORT_WORDS, FEW_ANCHORS = 40, 0.15
 BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 ANCHORS = np.unique(np.concatenate(list(word_hashes([w.encode() for w in COMMON], BETWEEN))))
 FACTORS = np.random.default_rng(4).integers(1, 1 << 63, CHAIN + 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,9 +58,8 @@ def signatures(words: np.ndarray) -> np.ndarray:
     chains = words[anchors] * FACTORS[0]
     for k in range(CHAIN):
         chains += words[content[first + k]] * FACTORS[k + 1]
-    if n < SHORT_WORDS or len(anchors) < FEW_ANCHORS * n:
-        every = words[:-1] * FACTORS[CHAIN + 1] + words[1:] * FACTORS[CHAIN + 2] if n > 1 else words * FACTORS[CHAIN + 1]
-        chains = np.concatenate((chains, every))
+    every = words[:-1] * FACTORS[CHAIN + 1] + words[1:] * FACTORS[CHAIN + 2] if n > 1 else words * FACTORS[CHAIN + 1]
+    chains = np.concatenate((chains, every))
     chains.sort()
     before = np.arange(len(chains)) - np.searchsorted(chains, chains)
     return np.unique((mixed(chains + before.astype(np.uint64) * FACTORS[CHAIN + 3]) >> np.uint64(32)).astype(np.uint32))

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.llm import spotsigs
 from quarry.llm.boosting import fit, isotonic
 from quarry.llm.html_text import extract_main_text, main_text, smoothed, two_clusters
 from quarry.llm.queries import URL_RULES
+from quarry.llm.shingles import word_hashes
 from quarry.llm.spotsigs import decoded, edited, encoded, fingerprints, likeness, signatures
 from quarry.llm.toxicity import drop_toxic, score_toxicity
 from quarry.llm.url_filter import Rule, judge_urls, rule
@@ -160,6 +162,20 @@ def test_fingerprints_of_few_rows(spark):
     assert fingerprints(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 2
 
 
+def test_likeness_has_no_jump_at_a_length_or_at_a_part_of_anchors():
+    content = [f"word{i}" for i in range(60)]
+    texts = []
+    for n in range(36, 45):  # around 40 words, every third one common
+        texts.append(" ".join("the" if i % 3 == 0 else content[i] for i in range(n)))
+    for k in range(10, 24):  # around 15 % anchors among 100 words
+        texts.append(" ".join("of" if i % 6 == 1 and i < 6 * k else f"w{i}" for i in range(100)))
+    for text in texts:
+        fewer = " ".join(text.split()[:-1])
+        without = " ".join(w for i, w in enumerate(text.split()) if i != 1)
+        whole, *others = (signatures(w) for w in word_hashes([t.encode() for t in (text, fewer, without)], spotsigs.BETWEEN))
+        assert min(likeness(whole, other) for other in others) > 0.8
+
+
 def test_likeness():
     a, b = np.array([1, 2, 3], dtype=np.uint32), np.array([2, 3, 4, 5], dtype=np.uint32)
     assert likeness(a, b) == 2 / 5 and likeness(a, b, 0.8) == 0 and likeness(a[:0], a) == 0 and likeness(a[:0], a[:0]) == 1
