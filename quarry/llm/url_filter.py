@@ -4,17 +4,20 @@ A rule names a host with its subdomains and a path prefix; the longest rule that
 fits decides.  All other URLs are judged by gradient-boosted trees over lexical
 features.  The trees learn from labelled URLs: a bounded sample of the table's
 own, labelled by a list of words of unwanted hosts, beside a fixed list of
-examples, so that even a table without unwanted hosts gives both labels.
+examples, so that even a table without unwanted hosts gives both labels.  The
+examples have hosts of all shapes in both classes; what tells the classes apart
+are rates of letter triples in host names, which trees see from other folds only.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,17 @@ TRAINING_URLS = 20_000
 # Words in the names of hosts that are to be blocked.
 UNWANTED = """adult ads adserver bet bets betting casino cheap clickbait gambling jackpot loans lottery malware phish
 pharma pills poker popads porn replica scam sex slots spam torrent track tracker viagra warez win xxx""".split()
-FIRST, SECOND = ("cheap", "free", "best", "adult", "spam", "casino", "online"), ("pills", "bets", "win", "ads", "track", "x", "farm", "loans")
-PLAIN = ("news", "garden", "library", "weather", "cooking", "museum", "physics", "travel", "history", "music")
+# Words that names join with others, in hosts of both kinds.
+COMPANIONS = """best big city club daily deals direct farm fast first free fun global home hot hub king land live my
+network new now online open page place plus point portal pro real site star store super the time top village web
+world x zone""".split()
+PLAIN = """archive art bakery bike birds books bridge bus castle chess choir cinema coffee college cooking dance doctor
+energy family farmers flowers forest garden glass guide health history house insurance job journal kitchen lake
+law library light maps market math medicine mountain museum music nature news ocean paint paper park physics
+poetry radio recipes river sailing school science sport station stone street tea theatre trade traffic train
+travel university valley water weather wiki wind window winter wood""".split()
+DOMAINS = ("com", "net", "org", "de", "fr", "info", "blog.com", "pages.net", "hosting.org", "cdn.io")
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,19 +83,58 @@ TOKEN = re.compile(r"[a-z]+")
 
 
 def unwanted(host: str) -> bool:
-    """The training label of a host: whether one of its words is on the list."""
-    return any(t in _UNWANTED for t in TOKEN.findall(host))
+    """The training label of a host: whether one of its words, alone or joined to others, is on the list."""
+    return any(t in _UNWANTED or joins_unwanted(t) for t in TOKEN.findall(host))
+
+
+def joins_unwanted(name: str) -> bool:
+    """Whether known words, one of them on the list, make up all of ``name``: casinowin, but not winter."""
+    reached = {0: {False}}  # by length: whether a word on the list is among those before
+    for end in range(1, len(name) + 1):
+        for start in list(reached):
+            word = name[start:end]
+            if word in _KNOWN:
+                reached.setdefault(end, set()).update(bad or word in _UNWANTED for bad in reached[start])
+    return True in reached.get(len(name), set()) and name not in PLAIN
 
 
 _UNWANTED = frozenset(UNWANTED)
+_KNOWN = _UNWANTED | frozenset(COMPANIONS) | frozenset(PLAIN)
+
+
+def triples(host: str) -> set[str]:
+    """Letter triples of a host's words, their ends marked; the last label says nothing of the name."""
+    return {w[i : i + 3] for t in TOKEN.findall(host.rpartition(".")[0] or host) for w in (f"^{t}$",) for i in range(len(w) - 2)}
+
+
+def fold_of(host: str) -> int:
+    return zlib.crc32(host.encode()) % FOLDS
+
+
+class Triples:
+    """Log odds of letter triples among labelled hosts, each host counted once."""
+
+    def __init__(self, labels: dict[str, float]):
+        self.sizes = [sum(1 for v in labels.values() if v == k) for k in (0.0, 1.0)]
+        self.counts: dict[str, list[int]] = {}
+        for host, label in labels.items():
+            for t in triples(host):
+                self.counts.setdefault(t, [0, 0])[int(label)] += 1
+
+    def odds(self, host: str) -> list[float]:
+        """Sum, mean and greatest of a host's log odds, and the sum of its three greatest."""
+        known = (self.counts[t] for t in triples(host) if t in self.counts)
+        clean, bad = (n + 1.0 for n in self.sizes)
+        each = sorted((math.log((b + 0.5) / bad) - math.log((c + 0.5) / clean) for c, b in known), reverse=True)
+        return [sum(each), sum(each) / len(each), each[0], sum(each[:3])] if each else [0.0] * 4
 
 
 def entropy(text: str) -> float:
     return -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values()) if text else 0.0
 
 
-def lexical(url: str, host: str, path: str, suffix_rates: dict[str, float]) -> list[float]:
-    """Lengths, depth, digit ratio, entropy, parameter counts and suffix statistics."""
+def lexical(url: str, host: str, path: str, suffix_rates: dict[str, float], odds: Triples) -> list[float]:
+    """Lengths, depth, digit ratio, entropy, parameter counts, and statistics of suffixes and letter triples."""
     query = url.partition("?")[2].partition("#")[0]
     labels = host.split(".")
     suffix = labels[-1]
@@ -110,14 +161,26 @@ def lexical(url: str, host: str, path: str, suffix_rates: dict[str, float]) -> l
         suffix_rates.get(suffix, suffix_rates.get("", 0.0)),
         float(not host),
         float("@" in url or "%" in host or host[:1].isdigit()),
+        *odds.odds(host),
     ]
 
 
 def examples() -> list[str]:
-    """The fixed labelled URLs; their labels follow from their hosts, as those of the table do."""
-    bad = [f"http://{p}{a}-{b}.example.{t}/en/7{t}" for p in ("", "www.") for (a, b), t in product(product(FIRST, SECOND), ("com", "net"))]
-    good = [f"https://{p}{a}{b}.example.{t}/en/4{t}" for p in ("", "blog.", "m.") for a in PLAIN for b in PLAIN[:4] for t in ("com", "net")]
-    return bad + good
+    """The fixed labelled URLs; their labels follow from their hosts, as those of the table do.
+
+    Names of both classes get schemes, hyphens, prefixes, domains and paths by the same dice.
+    """
+    r = random.Random(5)
+    out = []
+    for words in (UNWANTED, PLAIN):
+        for _ in range(2000):
+            pair = [r.choice(words), r.choice([*words, *COMPANIONS])]
+            r.shuffle(pair)
+            name = r.choice(("", "-")).join(pair[: r.choice((1, 2, 2, 2))] if pair[0] in words else pair)
+            scheme, prefix = r.choice(("http", "https")), r.choice(("", "", "www.", "blog.", "m."))
+            path = r.choice(("", "en/", "de/", "2024/")) + r.choice(("", "index", "item-4", "7", "a.html", "a?x=1&y=2"))
+            out.append(f"{scheme}://{prefix}{name}.{r.choice(('', 'example.'))}{r.choice(DOMAINS)}/{path}")
+    return out
 
 
 def judge_urls(
@@ -142,21 +205,23 @@ def judge_urls(
     part = min(1.0, rows / max(1, pages.count()))
     dice = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = picked.filter(dice < part).select("url", "host", "path").toPandas()  # about ``rows`` at most
-    fixed = [(u, u.split("/")[2], "/" + u.split("/", 3)[3]) for u in examples()]
+    fixed = [(u, u.split("/")[2], "/" + u.split("/", 3)[3].partition("?")[0]) for u in examples()]
     train = sorted(set(drawn.itertuples(index=False, name=None))) + fixed
     y = np.array([float(unwanted(h)) for _, h, _ in train])
     by_suffix: dict[str, list[float]] = {}
     for (_, h, _), label in zip(train, y, strict=True):
         by_suffix.setdefault(h.rpartition(".")[2], []).append(label)
     rates = {s: (sum(v) + y.mean()) / (len(v) + 1) for s, v in by_suffix.items() if len(v) >= 20} | {"": float(y.mean())}
-    trees = fit(np.array([lexical(*t, rates) for t in train]), y, trees=80, depth=4)
-    sent = pages.sparkSession.sparkContext.broadcast((trees, rates))
+    by_host = {h: label for (_, h, _), label in zip(train, y, strict=True)}
+    others = [Triples({h: v for h, v in by_host.items() if fold_of(h) != k}) for k in range(FOLDS)]
+    trees = fit(np.array([lexical(*t, rates, others[fold_of(t[1])]) for t in train]), y, trees=80, depth=4)
+    sent = pages.sparkSession.sparkContext.broadcast((trees, rates, Triples(by_host)))
 
     def task():
-        fitted, known = sent.value
+        fitted, known, odds = sent.value
 
         def work(batch: pa.RecordBatch) -> dict:
-            x = [lexical(*r, known) for r in zip(*(batch.column(c).to_pylist() for c in ("url", "host", "path")), strict=True)]
+            x = [lexical(*r, known, odds) for r in zip(*(batch.column(c).to_pylist() for c in ("url", "host", "path")), strict=True)]
             return {c: batch.column(c) for c in ("page_id", "host", "path")} | {"score": fitted.probability(np.array(x).reshape(len(x), -1))}
 
         return work

@@ -15,7 +15,7 @@ from quarry.llm.queries import URL_RULES
 from quarry.llm.shingles import word_hashes
 from quarry.llm.spotsigs import decoded, edited, encoded, fingerprints, likeness, signatures
 from quarry.llm.toxicity import drop_toxic, score_toxicity
-from quarry.llm.url_filter import Rule, judge_urls, rule
+from quarry.llm.url_filter import Rule, examples, judge_urls, rule, unwanted
 from tests.llm.common import HARD, near_copy, prose, table
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
@@ -211,3 +211,17 @@ def test_url_rules(spark):
     assert rule("allow A.org/b/C") == Rule("allow", "a.org", "/b/C")
     with pytest.raises(ValueError):
         rule("maybe x.org/")
+
+
+def test_url_verdicts_do_not_come_down_to_a_hyphen(spark):
+    clean = ["garden-music", "museum-guide", "weather-station", "physicsjournal", "history", "lake-view", "winter", "city-library"]
+    bad = ["casinowin", "casino-win", "cheappills", "adultx", "spamfarm", "freebets", "free-bets", "onlinepoker"]
+    urls = [f"{s}://{p}{n}.example.net/en/{k}" for n in clean + bad for s in ("http", "https") for p in ("", "www.") for k in (1, 2)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: r.verdict for r in judge_urls(pages, [], rows=0).collect()}  # the examples alone
+    wrong = {u for u, v in got.items() if (v == "block") != any(f"{n}." in u for n in bad)}
+    assert len(wrong) <= 0.05 * len(urls), sorted(wrong)
+    assert unwanted("casinowin.example.net") and not unwanted("winter.example.net") and not unwanted("better.example.net")
+    for label in (True, False):
+        shapes = {(u.split(":")[0], "-" in u.split("/")[2]) for u in examples() if unwanted(u.split("/")[2]) == label}
+        assert len(shapes) == 4
