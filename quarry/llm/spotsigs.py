@@ -8,9 +8,9 @@ have signatures, too, and no edit changes the scheme.  A text's fingerprint is t
 signatures, a repeated one marked by how often it came before, as sorted 32-bit
 hashes; so fingerprints compare by Jaccard similarity without their texts.
 
-Comparison is pruned by set length first: sets of sizes m <= n can't be more alike
-than m / n, so sets fall into length classes of which only neighbours can reach
-a threshold.
+Two fingerprints are compared by likeness(), which skips pairs whose lengths rule
+a threshold out: sets of sizes m <= n can't be more alike than m / n.  There is no
+comparison of all pairs by length classes here.
 """
 
 from __future__ import annotations
