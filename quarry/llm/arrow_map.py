@@ -1,8 +1,11 @@
-"""Python over whole columns, one Arrow batch at a time."""
+"""Python over whole columns, one Arrow batch at a time, and what workers hold between tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +15,28 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 #: Rows of a slice that a function sees at once are bounded by this many bytes.
 SLICE_BYTES = 8 << 20
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(name: Hashable, make: Callable[[], Any]) -> Any:
+    """This worker's object of a name, made once; a worker holds one at most.
+
+    Workers serve one operator after the other; what one of them holds must not
+    take memory from the next.
+    """
+    if name not in _held:
+        let_go()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Drop what this worker holds, and give freed memory back to the system where that can be asked for."""
+    _held.clear()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
 
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``limit`` bytes, one row at least."""
@@ -21,11 +46,11 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
 
 
 def map_batches(
-    df: DataFrame, schema: str, task: Callable[[], Callable[[pa.RecordBatch], dict[str, Iterable]]]
+    df: DataFrame, schema: str, task: Callable[[], Callable[[pa.RecordBatch], dict[str, Iterable]]], limit: int = SLICE_BYTES
 ) -> DataFrame:
     """``df`` mapped by the function that ``task()`` makes once for each task.
 
-    The function takes a slice of a batch and returns columns by name.
+    The function takes a slice of a batch of about ``limit`` bytes and returns columns by name.
     """
     struct: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
@@ -33,7 +58,7 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = task()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit):
                 out = work(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 

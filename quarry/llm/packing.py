@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.arrow_map import map_batches
 from quarry.llm.storage import materialize, text_or_empty
-from quarry.llm.tokens import pieces_for
+from quarry.llm.tokens import pieces_for, with_end
 
 #: Parts into which the pieces of one size are dealt for ranking.
 SALTS = 64
@@ -193,11 +193,14 @@ def places(patterns: list[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def cut(length: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: all of ``capacity`` but perhaps the first."""
-    head = length % capacity
-    starts = ([0] if head else []) + list(range(head, length, capacity))
-    return [(s, (head if head and s == 0 else capacity)) for s in starts]
+def cut_all(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of all pieces: of ``capacity`` each but perhaps a document's first."""
+    n = -(-lengths // capacity)
+    doc = np.repeat(np.arange(len(lengths)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    ahead = (n * capacity - lengths)[doc]  # by so much the first piece is shorter
+    start = np.maximum(piece * capacity - ahead, 0)
+    return doc, piece, start, np.where(piece == 0, capacity - ahead, capacity)
 
 
 def tokenised_pieces(
@@ -205,30 +208,31 @@ def tokenised_pieces(
 ) -> DataFrame:
     """Pieces of all documents: (doc_id, piece, start, length, ids_crc32[, ids])."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    end = np.array([end_id], "<u4").tobytes()
 
     def task():
         encoder = pieces_for(sent.value, special_tokens)
 
         def work(batch: pa.RecordBatch) -> dict:
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, tokens in zip(ids, encoder.encode(texts), strict=True):
-                data = memoryview(tokens + end)
-                for n, (start, length) in enumerate(cut(len(data) // 4, capacity)):
-                    part = data[4 * start : 4 * (start + length)]
-                    row = (doc_id, n, start, length, zlib.crc32(part))
-                    for k, v in zip(out, row, strict=False):
-                        out[k].append(v)
-                    if with_ids:
-                        out["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
+            tokens, starts = with_end(*encoder.encode_column(batch.column(1)), end_id)
+            doc, piece, start, length = cut_all(np.diff(starts), capacity)
+            at = starts[doc] + start
+            data = memoryview(tokens.view(np.uint8))
+            parts = [(4 * a, 4 * b) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            out = {
+                "doc_id": batch.column(0).take(pa.array(doc)),
+                "piece": piece,
+                "start": start,
+                "length": length,
+                "ids_crc32": [zlib.crc32(data[a:b]) for a, b in parts],
+            }
+            if with_ids:
+                out["ids"] = [tokens[a // 4 : b // 4].astype(np.int32) for a, b in parts]
             return out
 
         return work
 
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids
-    return map_batches(docs.select(F.col(id_col).cast("long"), text_or_empty(text_col)), schema, task)
+    return map_batches(docs.select(F.col(id_col).cast("long"), text_or_empty(text_col)), schema, task, 4 << 20)
 
 
 def pack(

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quarry.llm.arrow_map import slices
 from quarry.llm.ranges import range_of, splitters, weighted_sample
 from quarry.llm.storage import scratch, text_or_empty
-from quarry.llm.tokens import pieces_for
+from quarry.llm.tokens import pieces_for, with_end
 
 MAGIC = b"QSSTBL01"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -214,7 +214,6 @@ def write_tokens(
     placed = base.withColumn("part", range_of([F.coalesce("doc_id", F.lit(-(1 << 63)))], bounds))
     ordered = placed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
     sent = spark.sparkContext.broadcast(tokenizer)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces_for(sent.value, special_tokens)
@@ -234,14 +233,15 @@ def write_tokens(
         for batch in batches:
             for piece in slices(batch, 4 << 20):
                 ids, texts, parts_ = (piece.column(k) for k in (0, 1, 2))
-                tokens = encoder.encode(texts.cast(pa.binary()).to_pylist())
-                for doc_id, p, data in zip(ids.to_pylist(), parts_.to_pylist(), tokens, strict=True):
+                tokens, starts = with_end(*encoder.encode_column(texts), end_id)
+                places = zip(ids.to_pylist(), parts_.to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True)
+                for doc_id, p, start, stop in places:
                     if p != part:
                         if writer is not None:
                             yield finish()
                         part, name = p, f"shard-{p:07d}-{uuid.uuid4().hex}.sst"
                         writer = Writer(store.open_output_stream(f"{root}/{name}"), width)
-                    writer.add(key_of(doc_id), np.frombuffer(data + end, "<u4"))
+                    writer.add(key_of(doc_id), tokens[start:stop])
         if writer is not None:
             yield finish()
 
