@@ -4,6 +4,10 @@ Large-star and small-star steps alternate: every node links its larger
 neighbours, then its smaller ones, to the smallest node around it, until the
 links are stars.  Each round is written to the shared folder, so lineage stays
 short and a lost executor repeats one round at most.  Nothing is collected.
+
+The smallest node of a component has links to all others.  Nodes of so many links
+are bounded in number, so their rows meet their minimum by a broadcast, and no
+task gets a whole component.
 """
 
 from __future__ import annotations
@@ -18,11 +22,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step on links (a, b), a > b."""
+#: Nodes of more links are hubs; with this many hubs or more, only those of still more links.
+HUB_LINKS, MOST_HUBS = 500, 200_000
+
+
+def star(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
+    """One step on ``n_edges`` links (a, b), a > b."""
     around = both_ways(edges) if large else edges
-    least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    joined = around.join(least, "a")
+    least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    least = materialize(least, "least")
+    # 2 * n_edges links at most, so fewer than MOST_HUBS nodes have more links than this.
+    limit = max(HUB_LINKS, 2 * n_edges // MOST_HUBS)
+    hubs = F.broadcast(least.filter(F.col("n") > limit).select("a", "m"))
+    light = least.filter(F.col("n") <= limit).select("a", "m")
+    if least.filter(F.col("n") > limit).isEmpty():
+        joined = around.join(light, "a")
+    else:
+        joined = around.join(hubs, "a").unionByName(around.join(hubs, "a", "left_anti").join(light, "a"))
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -42,6 +58,7 @@ def components(links: DataFrame) -> DataFrame:
         if mark == state or not mark[0]:
             break
         state = mark
-        edges = materialize(star(star(edges, True), False), "links")
+        edges = materialize(star(edges, mark[0], True), "links")
+        edges = materialize(star(edges, mark[0], False), "links")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

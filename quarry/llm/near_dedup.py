@@ -14,11 +14,17 @@
 
 Not all pairs of a bucket are formed.  First each bucket's members are paired
 with its smallest and largest member, confirmed, and joined to components.  Where
-a bucket still holds several components, each member of a smaller one probes
-the larger ones: once per component, not per member.  A probe of a component of
-several documents meets them in blocks inside tasks, which emit one link for each
-probe at most.  Every two documents of a bucket are thus in one component or
-were compared.
+a bucket still holds several components, their documents meet as groups:
+
+* A member of a smaller component probes each larger one that has several
+  documents, once, however many buckets they share.
+* Documents that are still alone are paired by a join where a bucket has a few of
+  them.  Larger buckets of them make groups, too: each such document belongs to
+  the largest of its buckets and probes the groups that it meets in any.
+
+A probe meets a group's members inside tasks, by blocks of bounded text, through an
+index of the block's shingles; a task emits links that join what was apart, not
+pairs.  Every two documents of a bucket are thus in one component or were compared.
 """
 
 from __future__ import annotations
@@ -43,8 +49,10 @@ SKETCH_BITS, BINS = 1024, 2048
 WORDS = SKETCH_BITS // 64
 #: Standard errors above the count that is expected at the least similarity, up to which pairs are confirmed.
 MARGIN = 5.5
-#: Documents of each side that meet in one task.
-BLOCK = 256
+#: Documents of each side that meet in one task, and bytes of their texts, at most about.
+BLOCK, BLOCK_BYTES = 4096, 6 << 20
+#: Lone documents of a bucket that are paired by a join; more of them meet as a group.
+FEW = 48
 _random = np.random.default_rng(160)
 FACTORS = _random.integers(0, 1 << 31, (SAMPLES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _random.integers(0, 1 << 32, (SAMPLES, 1), dtype=np.uint32)
@@ -136,56 +144,119 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
+class Members:
+    """Documents of a block: their sketches, and an index of their shingles."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        made = [odd_sketch(s) for s in sets]
+        self.bits = np.array([w for w, _ in made]).view(np.uint64).reshape(-1, WORDS)
+        self.used = np.array([b for _, b in made], dtype=float)
+        self.size = np.array([len(s) for s in sets])
+        owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
+        shingles = np.concatenate(sets)
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.owners = shingles[order], owners[order]
+
+    def like(self, probe: np.ndarray, percent: int) -> np.ndarray:
+        """Numbers of the members that are similar to a set: those that lengths and sketches leave, counted exactly."""
+        word, used = odd_sketch(probe)
+        n = len(probe)
+        differ = np.bitwise_count(self.bits ^ word.view(np.uint64)).sum(axis=1)
+        bits = allowed_bits(n, self.size, used, self.used, percent, np.exp, np.sqrt, lambda v: np.maximum(v, 0.0))
+        near = (differ <= bits) & (100 * np.minimum(n, self.size) >= percent * np.maximum(n, self.size))
+        if not near.any():
+            return np.flatnonzero(near)
+        low, high = (np.searchsorted(self.shingles, probe, side) for side in ("left", "right"))
+        each = high - low
+        upto = np.cumsum(each)
+        found = self.owners[np.repeat(low - upto + each, each) + np.arange(upto[-1])]
+        shared = np.bincount(found, minlength=len(self.size))
+        return np.flatnonzero(near & (100 * shared >= percent * (n + self.size - shared)))
+
+
 def links_in_block(probes: list[np.ndarray], members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """The first link of each probe to a member, after the tests of length and sketch."""
-    made = [[odd_sketch(s) for s in side] for side in (probes, members)]
-    bits = [np.array([w for w, _ in side]).view(np.uint64).reshape(-1, WORDS) for side in made]
-    used = [np.array([b for _, b in side], dtype=float) for side in made]
-    size = [np.array([len(s) for s in side], dtype=float) for side in (probes, members)]
+    """A link of each probe to a member, if it has any."""
+    block = Members(members)
+    found = ((i, block.like(p, percent)) for i, p in enumerate(probes))
+    return [(i, int(k[0])) for i, k in found if len(k)]
+
+
+def joining_links(probes: list[np.ndarray], members: list[np.ndarray], percent: int, names: list[list]) -> list[tuple[int, int]]:
+    """Links of probes to members that join what no earlier one does; ``names`` tell who is who on both sides."""
+    block, above = Members(members), {}
+
+    def top(x):
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
     out = []
-    for i in range(len(probes)):
-        differ = np.bitwise_count(bits[1] ^ bits[0][i]).sum(axis=1)
-        near = differ <= allowed_bits(
-            size[0][i], size[1], used[0][i], used[1], percent, np.exp, np.sqrt, lambda v: np.maximum(v, 0.0)
-        )
-        near &= 100 * np.minimum(size[0][i], size[1]) >= percent * np.maximum(size[0][i], size[1])
-        for k in np.flatnonzero(near)[np.argsort(differ[near], kind="stable")]:
-            if similar(probes[i], members[k], percent):
-                out.append((i, int(k)))
-                break
+    for i, probe in enumerate(probes):
+        for k in block.like(probe, percent).tolist():
+            a, b = top(names[0][i]), top(names[1][k])
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                out.append((i, k))
     return out
 
 
-def component_links(probes: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Links (a, b) of probes (rep, component) to members of their components, one for each block at most."""
-    probed = probes.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("probe_blocks"))
-    sizes = labels.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("member_blocks"))
-    blocks = materialize(probed.join(sizes, "component"), "blocks")
-    n_blocks = blocks.count()
-
-    def dealt(rows: DataFrame, own: str, other: str, role: int) -> DataFrame:
-        """Rows in a block of their own side, once for each block of the other side."""
-        placed = rows.join(small(blocks, n_blocks), "component")
-        block = F.pmod(F.xxhash64("id"), F.col(f"{own}_blocks")).cast("int").alias(own)
-        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other)
-        return placed.select("component", "id", F.lit(role).alias("role"), block, every)
+def component_links(
+    probes: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, *, joined: bool = True
+) -> DataFrame:
+    """Links (a, b) of probes (rep, component) to members (node, component) of their components.
 
-    sides = dealt(labels.select("component", F.col("node").alias("id")), "member", "probe", 0).unionByName(
-        dealt(probes.select("component", F.col("rep").alias("id")), "probe", "member", 1)
+    Each task gives one link for each probe at most if the members are ``joined``
+    already, and otherwise so many as join its documents.
+    """
+    wanted = probes.select("component").distinct()
+    members = labels.join(small(wanted, wanted.count()), "component", "left_semi")
+    sides = members.select("component", F.col("node").alias("id"), F.lit(0).alias("role")).unionByName(
+        probes.select("component", F.col("rep").alias("id"), F.lit(1).alias("role"))
     )
     sides = materialize(sides, "sides")
     ids = materialize(sides.select("id").distinct(), "ids")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = sides.join(texts.join(small(ids, ids.count()), "id", "left_semi"), "id")
+    rows = materialize(sides.join(texts.join(small(ids, ids.count()), "id", "left_semi"), "id"), "met")
+
+    def blocks(role: int) -> Column:
+        own = F.col("role") == role
+        by_bytes = F.sum(F.when(own, F.octet_length("text"))) / BLOCK_BYTES
+        return F.greatest(F.ceil(F.count(F.when(own, 1)) / BLOCK), F.ceil(by_bytes)).cast("int")
+
+    counts = materialize(rows.groupBy("component").agg(blocks(0).alias("m"), blocks(1).alias("p")), "blocks")
+    placed = rows.join(small(counts, counts.count()), "component")
+    is_probe = F.col("role") == 1
+    own_blocks, other_blocks = F.when(is_probe, F.col("p")).otherwise(F.col("m")), F.when(is_probe, F.col("m")).otherwise(F.col("p"))
+    own = F.pmod(F.xxhash64("id"), own_blocks).cast("int")
+    # A row for each block of the other side: one, but in groups of more than a block.
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), other_blocks - 1)))
+    member, probe = F.when(is_probe, F.col("other")).otherwise(F.col("own")), F.when(is_probe, F.col("own")).otherwise(F.col("other"))
+    placed = placed.select("component", member.alias("member"), probe.alias("probe"), "role", "id", "text")
 
     def check(block: pd.DataFrame) -> pd.DataFrame:
         split = [block[block["role"] == role] for role in (1, 0)]
         names = [side["id"].to_list() for side in split]
         sets = [[shingle_set(w) for w in word_hashes([t.encode() for t in side["text"]])] for side in split]
-        found = links_in_block(*sets, percent)
+        found = links_in_block(*sets, percent) if joined else joining_links(*sets, percent, names)
         return pd.DataFrame({"a": [names[0][i] for i, _ in found], "b": [names[1][k] for _, k in found]}, dtype="int64")
 
-    return materialize(rows.groupBy("component", "member", "probe").applyInPandas(check, "a long, b long"), "more")
+    return materialize(placed.groupBy("component", "member", "probe").applyInPandas(check, "a long, b long"), "more")
+
+
+def lone_groups(alone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (node, component) and probes (rep, component) for lone documents (key, rep, lone) of large buckets.
+
+    A group is named by its bucket.  Of two documents with a bucket in common the
+    one whose own group comes first probes the other's group.
+    """
+    homes = alone.groupBy("rep").agg(F.max(F.struct("lone", "key")).getField("key").alias("home"))
+    homes = materialize(homes, "homes")
+    met = alone.select("key", "rep").join(homes, "rep")
+    there = met.groupBy("key").agg(F.collect_set("home").alias("there"))
+    there = materialize(there, "there")
+    probes = met.join(small(there, there.count()), "key").groupBy("rep", "home").agg(F.array_distinct(F.flatten(F.collect_set("there"))).alias("there"))
+    probes = probes.select("rep", "home", F.explode("there").alias("component")).filter("component >= home")
+    return homes.select(F.col("rep").alias("node"), F.col("home").alias("component")), materialize(probes.select("rep", "component"), "lone_probes")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -262,30 +333,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = materialize(components(links), "labels")
     n_labels = labels.count()
 
-    # Buckets that still hold several components: smaller ones probe larger ones.
+    # Buckets that still hold several components.
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     sized = materialize(labels.join(sizes, "component"), "sized")
     labelled = members.select("key", "rep").join(small(sized, n_labels), F.col("rep") == F.col("node"), "left")
-    labelled = labelled.select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    labelled = labelled.select("key", "rep", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "rep").alias("of")).alias("own"))
     labelled = materialize(labelled, "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_keys = materialize(open_keys.filter("least < most").select("key"), "open")
-    n_open = open_keys.count()
-    meeting = materialize(labelled.join(small(open_keys, n_open), "key", "left_semi").join(marks, "rep"), "meeting")
-    larger = meeting.filter("size = 1").unionByName(
-        meeting.filter("size > 1").select("key", "component", "size").distinct(), allowMissingColumns=True
+    several = F.when(F.col("own.size") > 1, F.col("own"))
+    open_keys = labelled.groupBy("key").agg(
+        F.min("own").alias("least"),
+        F.max("own").alias("most"),
+        F.collect_set(several).alias("several"),
+        F.count(F.when(F.col("own.size") == 1, 1)).alias("lone"),
     )
-    x, y = meeting.alias("x"), larger.alias("y")
-    order = F.struct("x.size", "x.component") < F.struct("y.size", "y.component")
-    possible = (F.col("y.size") > 1) | may_be_similar("x", "y", percent)
-    probes = x.join(y, (F.col("x.key") == F.col("y.key")) & order & possible)
-    probes = probes.select("x.rep", "y.component", "y.size").distinct()
-    probes = materialize(probes, "probes")
-    single = probes.filter("size = 1").select(F.least("rep", "component").alias("a"), F.greatest("rep", "component").alias("b"))
+    open_keys = materialize(open_keys.filter("least < most"), "open")
+    minor = labelled.join(small(open_keys, open_keys.count()), "key").filter("own < most OR own.size = 1")
+    minor = materialize(minor.select("key", "rep", "own", F.filter("several", lambda c: c > F.col("own")).alias("larger"), "lone"), "minor")
+    larger = minor.filter("size(larger) > 0").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("larger"))).alias("larger"))
+    probes = materialize(larger.select("rep", F.explode("larger.of").alias("component")), "probes")
+    more = component_links(probes, labels, docs, id_col, text_col, percent)
+    alone = minor.filter("own.size = 1 AND lone > 1").select("key", "rep", "lone")
+    few = materialize(alone.filter(F.col("lone") <= FEW).select("key", "rep").join(marks, "rep"), "few")
+    x, y = few.alias("x"), few.alias("y")
+    single = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & may_be_similar("x", "y", percent))
+    single = single.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     single = materialize(single.join(stars, ["a", "b"], "left_anti"), "single")
-    more = confirmed(single, docs, id_col, text_col, percent)
-    several = probes.filter("size > 1").select("rep", "component")
-    more = more.unionByName(component_links(several, labels, docs, id_col, text_col, percent))
+    more = more.unionByName(confirmed(single, docs, id_col, text_col, percent))
+    crowded = alone.filter(F.col("lone") > FEW)
+    if not crowded.isEmpty():
+        own, met = lone_groups(crowded)
+        more = more.unionByName(component_links(met, own, docs, id_col, text_col, percent, joined=False))
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "labels")
         n_labels = labels.count()

@@ -15,8 +15,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most this many are broadcast; larger sides are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables of at most this many bytes are broadcast; larger sides are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of a broadcast row beside its values, about; and of its values by type.
+ROW_BYTES = 24
+WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
 
 _own_root: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
@@ -66,9 +69,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of ``df`` only if its counted ``rows`` are within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def small(df: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
+    """Hint a broadcast of ``df`` only if its counted ``rows`` take ``limit`` bytes at most.
+
+    The bytes of columns without a fixed width are measured.
+    """
+    limit = BROADCAST_BYTES if limit is None else limit
+    held = rows * (ROW_BYTES + sum(WIDTHS.get(kind, 0) for _, kind in df.dtypes))
+    measured = [c for c, kind in df.dtypes if kind not in WIDTHS]
+    if held <= limit and measured:
+        held += df.agg(F.sum(F.octet_length(F.to_json(F.struct(*measured))))).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
 
 
 def text_or_empty(column: str) -> Column:

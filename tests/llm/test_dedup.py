@@ -148,3 +148,34 @@ def test_dropping_copies_judges_rows_without_ids_and_with_shared_ids(spark):
     want = [(5, five), (7, three), (7, four), (9, near), (None, None), (None, two)]  # an id stays before none
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted(want, key=key)
+
+
+def test_lone_documents_of_large_buckets_meet_as_groups(spark, monkeypatch):
+    """With two documents as many, lone documents of a bucket probe groups, in blocks of three."""
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    texts = corpus()
+    got = {r.doc_id: r.component_id for r in near_groups(table(spark, texts)).collect()}
+    assert got == components_by_force(dict(enumerate(texts)))
+
+
+def test_joining_links_join_what_is_similar():
+    texts = [near_copy(prose(3, 120), s, s % 7) for s in range(14)] + [prose(4, 120)]
+    sets = [shingle_set(w) for w in word_hashes([t.encode() for t in texts])]
+    names = [list(range(15)), list(range(15))]
+    found = near_dedup.joining_links(sets, sets, 75, names)
+    want = components_by_force(dict(enumerate(texts)))
+    label = {i: i for i in range(15)}
+    for _ in range(15):
+        for a, b in found:
+            label[a] = label[b] = min(label[a], label[b])
+    assert label == want and len(found) == 15 - len(set(want.values()))
+
+
+def test_hubs_of_components_meet_by_broadcast(spark, monkeypatch):
+    from quarry.llm import components as module
+
+    monkeypatch.setattr(module, "HUB_LINKS", 3)
+    links = [(i, 1000) for i in range(1, 40)] + [(i, i + 1) for i in range(50, 70)] + [(60, 1000), (200, 201)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in [*range(1, 40), *range(50, 71), 1000]}, 200: 200, 201: 200}
