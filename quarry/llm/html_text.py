@@ -2,16 +2,21 @@
 
 The standard library's streaming parser turns a page into blocks (lines) with
 their text, tag count and enclosing elements.  The text-to-tag ratio of each
-line is smoothed by a Gaussian and split into two clusters by a threshold; the
-cluster of dense lines elects the element that holds the article.  Every line
-of that element belongs to the text, except those under elements that by tag,
-role or name are navigation, notices, adverts, forms, comments and the like.
+line, smoothed by a Gaussian, is split into two clusters by a threshold; lines of
+the upper cluster are content.  Runs of them select the regions that make up the
+text: the articles in which they lie, or on pages without articles the span from
+the first to the last content line of their common container and whatever stands
+in one container with a content line.  Lines of navigation, notices, adverts,
+forms, comments and the like go before that, by tag or role; a telling class or
+id removes a container too, but never one that holds all content lines.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -28,7 +33,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP_TAGS = frozenset(
-    """aside audio button canvas datalist dialog embed footer form frameset head header iframe input map math menu nav
+    """aside audio button canvas datalist dialog embed footer form frameset head header iframe input map menu nav
     noframes noscript object option script select style svg template textarea title video""".split()
 )
 SKIP_ROLES = frozenset(
@@ -42,6 +47,13 @@ SKIP_NAMES = frozenset(
     recommendations recommended related replies reply respond search share sharing sidebar signup skip social sponsor
     sponsored subscribe subscription teaser toolbar topbar widget widgets""".split()
 )
+# Names that say that a container has an article's text, whatever else they say.
+TEXT_NAMES = frozenset("article body content copy entry main page post story text".split())
+# Names that tell even of a paragraph that it isn't part of the text.
+STRONG_NAMES = frozenset(
+    """ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs consent cookie cookies
+    copyright gdpr newsletter notice promo promoted sponsored subscribe""".split()
+)
 #: An open element of the key ends when one of the values starts.
 IMPLIED_END = {
     "p": BLOCK_TAGS - {"body", "html", "head", "option", "optgroup"},
@@ -54,8 +66,11 @@ IMPLIED_END = {
     "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
     "head": frozenset({"body"}),
 }
+ENDED_BY = {tag: [was for was, by in IMPLIED_END.items() if tag in by] for tag in frozenset().union(*IMPLIED_END.values())}
 SCOPES = frozenset({"table", "ul", "ol", "dl", "select", "article", "section", "main", "aside", "nav", "form", "div"})
 CONTAINERS = frozenset({"", "html", "body", "div", "section", "td", "center"})
+#: Elements of text that a name removes only if it is one of STRONG_NAMES.
+TEXT_TAGS = frozenset("a b blockquote cite code dd dt em figcaption figure font i li p pre q small span strong td th u".split())
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 UNFINISHED = re.compile(r"<(?:[A-Za-z/!?][^<>]*)?\Z")
@@ -64,21 +79,20 @@ UNFINISHED = re.compile(r"<(?:[A-Za-z/!?][^<>]*)?\Z")
 class Element:
     """An open or closed element: its place in the tree and why it may not count."""
 
-    __slots__ = ("articles", "chars", "heading", "holds_article", "kept", "mass", "named", "parent", "skipped", "tag")
+    __slots__ = ("article", "gone", "heading", "holds_article", "in_header", "inside", "main", "mass", "named", "parent", "skipped", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, skipped: bool, named: bool, article: bool):
+    def __init__(self, tag: str, parent: Element | None, skipped: bool, named: bool, kind: str):
         self.tag, self.parent, self.skipped, self.named = tag, parent, skipped, named
-        self.chars, self.mass, self.holds_article, self.kept = 0, 0, False, None
+        self.mass, self.holds_article, self.gone, self.inside = 0, False, False, False
         self.heading = tag in HEADINGS or (parent is not None and parent.heading)
-        above = parent.articles if parent is not None else ()
-        self.articles = (*above, self) if article else above
-
-    def path(self):
-        """The element and its ancestors, nearest first."""
-        at = self
-        while at is not None:
-            yield at
-            at = at.parent
+        self.in_header = tag == "header" or (parent is not None and parent.in_header)
+        #: The outermost article, and main element, in which it stands.
+        self.article = parent.article if parent is not None else None
+        self.main = parent.main if parent is not None else None
+        if kind == "article" and self.article is None:
+            self.article = self
+        if kind == "main" and self.main is None:
+            self.main = self
 
 
 class Line:
@@ -93,7 +107,8 @@ class PageLines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.top = Element("", None, False, False, False)
+        self.top = Element("", None, False, False, "")
+        self.counts: Counter = Counter()
         self.open, self.lines, self.elements = [self.top], [], [self.top]
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.muted = 0
@@ -113,7 +128,7 @@ class PageLines(HTMLParser):
         else:
             self.tags += 1
         if tag in VOID_TAGS:
-            self.parts.append(" " if tag in ("br", "wbr", "hr") else "")
+            self.parts.append(" " if tag in ("br", "hr") else "")
             return
         named = hidden = False
         role = ""
@@ -123,14 +138,18 @@ class PageLines(HTMLParser):
             style = values.get("style", "").replace(" ", "")
             hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in style
             names = {p.lower() for k in ("class", "id") if k in values for p in NAME_PARTS.findall(values[k])}
-            named = bool(names & SKIP_NAMES) or role in SKIP_ROLES
+            named = role in SKIP_ROLES or not names.isdisjoint(STRONG_NAMES if tag in TEXT_TAGS else SKIP_NAMES)
+            named = named and tag not in HEADINGS and names.isdisjoint(TEXT_NAMES)
         if tag in ("html", "body", "main"):
             named = hidden = False
-        article = tag in ("article", "main") or role in ("article", "main")
-        element = Element(tag, self.open[-1], hidden or tag in SKIP_TAGS, named, article)
-        if article:
-            for above in self.open:
+        kind = tag if tag in ("article", "main") else role
+        element = Element(tag, self.open[-1], hidden or tag in SKIP_TAGS, named, kind)
+        if kind in ("article", "main"):
+            for above in reversed(self.open):
+                if above.holds_article:
+                    break
                 above.holds_article = True
+        self.counts[tag] += 1
         self.open.append(element)
         self.elements.append(element)
         self.links += tag == "a"
@@ -141,6 +160,8 @@ class PageLines(HTMLParser):
             self.flush()
         else:
             self.tags += 1
+        if not self.counts[tag]:
+            return  # nothing of that name is open
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag == tag:
                 self.close_from(depth)
@@ -156,6 +177,8 @@ class PageLines(HTMLParser):
             self.linked += len(data)
 
     def imply_end(self, tag: str) -> None:
+        if not any(self.counts[was] for was in ENDED_BY.get(tag, ())):
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             was = self.open[depth].tag
             if tag in IMPLIED_END.get(was, ()):
@@ -167,6 +190,7 @@ class PageLines(HTMLParser):
     def close_from(self, depth: int) -> None:
         self.links -= sum(e.tag == "a" for e in self.open[depth:])
         self.muted -= sum(e.skipped and e.tag not in BLOCK_TAGS for e in self.open[depth:])
+        self.counts.subtract(e.tag for e in self.open[depth:])
         del self.open[depth:]
 
 
@@ -197,62 +221,113 @@ def two_clusters(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def content_lines(lines: list[Line]) -> list[int]:
+    """Numbers of the lines whose smoothed text-to-tag ratio is in the upper cluster; of all, if that leaves none.
+
+    Clusters whose means differ by less than a factor of two are one.  A line that
+    only smoothing lifts, in a container without any line of its own above the
+    threshold, isn't content.
+    """
+    raw = [max(0, len(x.text) - x.linked) / (1 + x.tags) for x in lines]
+    ratio = smoothed(raw)
+    cut = two_clusters(ratio)
+    below, above = [r for r in ratio if r < cut], [r for r in ratio if r >= cut]
+    if below and 2 * sum(below) * len(above) > sum(above) * len(below):
+        cut = 0.0
+    dense = [i for i, r in enumerate(ratio) if r >= cut and len(lines[i].text) > lines[i].linked] or list(range(len(lines)))
+    own = {id(container(lines[i].element)) for i in dense if raw[i] >= cut}
+    return [i for i in dense if id(container(lines[i].element)) in own] if own else dense
+
+
+class Page:
+    """A parsed page, its elements in order, so that parents come before their children."""
+
+    def __init__(self, html: str):
+        parser = PageLines()
+        parser.feed(UNFINISHED.sub("", html))
+        parser.close()
+        parser.flush()
+        self.elements, self.lines, self.top = parser.elements, parser.lines, parser.top
+
+    def live(self, by_name: Callable[[Element], bool]) -> list[Line]:
+        """Lines that neither tags and roles nor names remove; of an article's own header, the headings."""
+        for e in self.elements:
+            skipped = e.skipped and not (e.tag == "header" and (e.article or e.main))
+            e.gone = skipped or by_name(e) or (e.parent is not None and e.parent.gone)
+        return [x for x in self.lines if not x.element.gone and (x.element.heading or not x.element.in_header)]
+
+    def weigh(self, lines: list[Line]) -> None:
+        """``mass`` of each element: how many of ``lines`` it holds."""
+        for e in self.elements:
+            e.mass = 0
+        for x in lines:
+            x.element.mass += 1
+        for e in reversed(self.elements[1:]):
+            e.parent.mass += e.mass
+
+    def within(self, chosen: set[int], lines: list[Line]) -> list[Line]:
+        for e in self.elements:
+            e.inside = id(e) in chosen or (e.parent is not None and e.parent.inside)
+        return [x for x in lines if x.element.inside]
+
+
+def container(e: Element) -> Element:
+    while e.tag not in CONTAINERS:
+        e = e.parent
+    return e
+
+
+def mostly_links(line: Line) -> bool:
+    return 2 * line.linked >= len(line.text)
+
+
+def regions(page: Page, live: list[Line], dense: list[int]) -> list[Line]:
+    """The lines that the content lines ``dense`` select."""
+    content = [live[i] for i in dense]
+    for kind in ("article", "main"):
+        if not (found := {id(e): e for x in content if (e := getattr(x.element, kind)) is not None}):
+            continue
+        held, upper = Counter(), Counter()
+        for counts, lines in ((held, live), (upper, content)):
+            for x in lines:
+                counts[id(getattr(x.element, kind))] += len(x.text)
+        # Of several, those whose text is content for the larger part: not teasers beside an article.
+        most = max(found, key=lambda e: (upper[e], -held[e]))
+        return page.within({e for e in found if e == most or 2 * upper[e] >= held[e]}, live)
+    page.weigh(content)
+    whole = [e for e in page.elements if e.mass == len(content) and e.tag in CONTAINERS][-1]  # the innermost
+    own = page.within({id(whole)}, live)
+    with_content = {id(container(x.element)) for x in content}
+    chosen, upper = set(map(id, content)), [i for i, x in enumerate(own) if id(x) in set(map(id, content))]
+    keep = [
+        id(x) in chosen or (not mostly_links(x) and (upper[0] < i < upper[-1] or id(container(x.element)) in with_content))
+        for i, x in enumerate(own)
+    ]
+    for i in range(len(own) - 2, -1, -1):  # headings of what stays
+        keep[i] = keep[i] or (own[i].element.heading and keep[i + 1] and not mostly_links(own[i]))
+    return [x for x, k in zip(own, keep, strict=True) if k]
+
+
 def main_text(html: str | None) -> str:
     """Text of the article in ``html``, its blocks joined by line feeds."""
     if not html:
         return ""
-    page = PageLines()
-    page.feed(UNFINISHED.sub("", html))
-    page.close()
-    page.flush()
-    for line in page.lines:
-        line.element.chars += len(line.text)
-    for element in reversed(page.elements[1:]):  # children come after their parents
-        element.parent.chars += element.chars
-    whole = page.top.chars
+    page = Page(html)
     # An article under no telling name: then names remove elements whatever these hold.
-    plain = any(e.articles and e.articles[-1] is e and not any(x.named for x in e.path()) for e in page.elements)
-
-    def by_name(e: Element) -> bool:
-        """Whether its name removes ``e``; else not if it has an article or most of the page."""
-        return e.named and (plain or (not e.holds_article and e.chars <= 0.7 * whole))
-
-    def kept(e: Element) -> bool:
-        """Whether nothing at or above ``e`` removes its text."""
-        if e.kept is None:
-            skipped = e.skipped and not (e.tag == "header" and e.articles)
-            e.kept = not by_name(e) and not skipped and (e.parent is None or kept(e.parent))
-            if e.kept and not e.heading:  # an article's own header keeps its headings only
-                e.kept = not any(x.tag == "header" for x in e.path())
-        return e.kept
-
-    def headed(e: Element) -> bool:
-        """As kept(), for a heading in a header of the article."""
-        skipped = e.skipped and not (e.tag == "header" and e.articles)
-        return not by_name(e) and not skipped and (e.parent is None or headed(e.parent))
-
-    live = [x for x in page.lines if (headed(x.element) if x.element.heading else kept(x.element))]
+    under_name = {}
+    plain = False
+    for e in page.elements:
+        under_name[id(e)] = e.named or (e.parent is not None and under_name[id(e.parent)])
+        plain = plain or (e in (e.article, e.main) and not under_name[id(e)])
+    if not (lines := page.live(lambda e: False)):
+        return ""
+    content = [lines[i] for i in content_lines(lines)]
+    page.weigh(content)
+    everything = {id(e) for e in page.elements if e.mass == len(content)}
+    live = page.live(lambda e: e.named and (plain or not (e.holds_article or id(e) in everything)))
     if not live:
         return ""
-    ratio = smoothed([max(0, len(x.text) - x.linked) / (1 + x.tags) for x in live])
-    cut = two_clusters(ratio)
-    dense = [i for i, r in enumerate(ratio) if r >= cut and len(live[i].text) > live[i].linked] or range(len(live))
-    for i in dense:
-        live[i].element.mass += len(live[i].text)
-    for element in reversed(page.elements[1:]):
-        element.parent.mass += element.mass
-    articles = [e for e in page.elements if e.mass and e.articles and e.articles[-1] is e]
-    if articles:
-        # Real articles go before other elements; of an article and one that it encloses, the outer.
-        best = max(articles, key=lambda e: (e.tag == "article", e.mass))
-    else:
-        # No such element: the smallest container with nearly all dense text.
-        holders = (e for e in live[dense[-1]].element.path() if e.tag in CONTAINERS)
-        best = next(e for e in holders if e.mass >= 0.9 * page.top.mass)
-    own = [x for x in live if best in x.element.path()]
-    if not articles and best.tag in ("", "html", "body"):
-        own = [x for x in own if 2 * x.linked < len(x.text)]  # a page without structure: no lines of links
-    return "\n".join(x.text for x in own)
+    return "\n".join(x.text for x in regions(page, live, content_lines(live)))
 
 
 def extract_main_text(
@@ -261,8 +336,9 @@ def extract_main_text(
     """One row per page: the ``keep`` columns, ``text`` and ``n_chars`` (its code points).
 
     Null, empty and text-free pages give the empty string.  A page that ends
-    within a tag or comment counts up to there.  Very long pages are read whole,
-    one at a time.  Repeated pages give repeated rows; an empty table gives none.
+    within a tag or comment counts up to there.  Very long and very deep pages are
+    read whole, one at a time.  Repeated pages and ids give repeated rows; an empty
+    table gives none.  Other columns, whatever their names, are not read.
     """
     names = [f"_q_{i}" for i in range(len(keep))]
     picked = pages.select(*[F.col(k).alias(n) for k, n in zip(keep, names, strict=True)], F.col(html_col).cast("string").alias("_q_html"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import spotsigs
+from quarry.llm import html_text, spotsigs
 from quarry.llm.boosting import fit, isotonic
 from quarry.llm.html_text import extract_main_text, main_text, smoothed, two_clusters
 from quarry.llm.queries import URL_RULES
@@ -66,6 +66,56 @@ def test_main_text_without_article_elements():
     assert main_text(html).split("\n")[0] == "Head" and main_text(html).count("\n") == 3 and "no" not in main_text(html).split()
 
 
+def unmarked_page(seed, paragraphs):
+    """A page of plain divs: menu, text and closing words tell themselves apart by their ratios only."""
+    r = random.Random(seed)
+    body = [prose(1000 * seed + k, r.choice((6, 40, 60, 80))) for k in range(paragraphs)]
+    body[0] = body[-1] = prose(seed, 60)
+    menu = "".join(f"<div><b>item</b> <i>{k}</i> <u>x</u></div>" for k in range(8))
+    tail = "".join(f"<div><b>tail</b> <i>{k}</i></div>" for k in range(6))
+    text = "".join(f"<p>{p}</p>" for p in body)
+    return f"<body><div>{menu}</div><div>{text}</div><div>{tail}</div></body>", body
+
+
+def test_regions_of_pages_without_articles():
+    for seed in range(1, 40):
+        html, body = unmarked_page(seed, 5 + seed % 7)
+        assert main_text(html).split("\n") == body
+
+
+def test_smoothing_decides_what_stays(monkeypatch):
+    html, body = unmarked_page(3, 9)
+    assert main_text(html).split("\n") == body
+    monkeypatch.setattr(html_text, "smoothed", lambda values, sigma=1.0: [1.0] * len(values))
+    assert main_text(html).split("\n") != body
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p>super<wbr>cali</p></article>", "supercali"),
+        ("<article><p>let <math><mi>x</mi></math> be</p></article>", "let x be"),
+        (
+            "<article><div class='signup-story'>one story</div><p class='comment'>two</p><h2 id='discussion'>three</h2><p>four</p></article>",
+            "one story\ntwo\nthree\nfour",
+        ),
+        (f"<article><p>{prose(1, 40)}</p></article><article><p>{prose(2, 40)}</p></article>", f"{prose(1, 40)}\n{prose(2, 40)}"),
+        (f"<article><p>{prose(1, 90)}</p></article><article><h3>Next</h3><a href=x>more</a></article>", prose(1, 90)),
+        ("<article><p>a</p><p class='ad'>buy</p><div class='comments'><p>b</p></div></article>", "a"),
+        (f"<div class='sidebar-page'><p>{prose(3, 50)}</p><p>{prose(4, 50)}</p></div>", f"{prose(3, 50)}\n{prose(4, 50)}"),
+    ],
+)
+def test_main_text_of_hard_pages(html, text):
+    assert main_text(html) == text
+
+
+@pytest.mark.parametrize("tag", ["font", "div", "b", "article", "span"])
+def test_very_deep_and_very_long_pages(tag):
+    assert main_text("<body>" + f"<{tag}>" * 10_000 + "<p>deep text") == "deep text"
+    long = [prose(k, 50) for k in range(3000)]
+    assert main_text("<article>" + "".join(f"<p>{p}" for p in long)).split("\n") == long
+
+
 def test_extraction_keeps_every_page(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = extract_main_text(pages).collect()
