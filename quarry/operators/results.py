@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 from typing import Any
@@ -14,6 +15,8 @@ from quarry.operators import paging
 from quarry.operators.paging import PageOrder
 
 MOST_KEYS, MOST_ROWS = 32, 10_000
+#: Rows whose records are read together.
+HYDRATED_ROWS = 500
 
 
 class ResultRow(tuple):
@@ -52,6 +55,7 @@ class Output:
     hydrate: Any = None
     text: str = ""
     scalar: bool = True
+    many: Callable[[Sequence[int]], list[Any]] | None = None
 
 
 @dataclass(frozen=True)
@@ -62,6 +66,12 @@ class Page:
     total: int | None = None
 
 
+def chunks(rows: Iterable[Any], size: int) -> Iterator[list[Any]]:
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, size)):
+        yield part
+
+
 class ResultColumn:
     """One output as a sequence of values."""
 
@@ -123,20 +133,28 @@ class ResultSet:
             frame = frame.offset(self._offset)
         return frame if self._limit is None else frame.limit(self._limit)
 
-    def _value(self, output: Output, row: Any) -> Any:
+    def _value(self, output: Output, row: Any, records: dict[str, dict[int, Any]]) -> Any:
         if output.hydrate is not None:
-            return None if row[output.name] is None else output.hydrate(row[output.name])
+            return None if row[output.name] is None else records[output.name][row[output.name]]
         if output.exact is not None and self._exact:
             text = row[f"{output.name}__exact"]
             return None if text is None else Fraction(text)
         return row[output.name]
 
-    def _made(self, row: Any) -> ResultRow:
-        return ResultRow([self._value(o, row) for o in self._outputs], self.names)
+    def _made(self, rows: Sequence[Any]) -> Iterator[ResultRow]:
+        """Result rows; their records are read together, once for each output."""
+        records: dict[str, dict[int, Any]] = {}
+        for o in self._outputs:
+            if o.hydrate is not None:
+                keys = list(dict.fromkeys(r[o.name] for r in rows if r[o.name] is not None))
+                found = o.many(keys) if o.many and keys else [o.hydrate(k) for k in keys]
+                records[o.name] = dict(zip(keys, found, strict=True))
+        return (ResultRow([self._value(o, r, records) for o in self._outputs], self.names) for r in rows)
 
     def __iter__(self) -> Iterator[ResultRow]:
-        """Rows one partition at a time, so the driver never holds them all."""
-        return (self._made(r) for r in self.to_frame().toLocalIterator())
+        """Rows one partition at a time, so the driver never holds them all; records come by HYDRATED_ROWS rows."""
+        for rows in chunks(self.to_frame().toLocalIterator(), HYDRATED_ROWS):
+            yield from self._made(rows)
 
     cursor = __iter__
 
@@ -215,7 +233,7 @@ class ResultSet:
 
         after, before = (cursor is not None, more) if backward else (more, cursor is not None)
         return Page(
-            [self._made(r) for r in got],
+            [r for part in chunks(got, HYDRATED_ROWS) for r in self._made(part)],
             token(got[-1], False) if got and after else None,
             token(got[0], True) if got and before else None,
             self._frame.count() if include_total else None,

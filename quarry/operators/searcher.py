@@ -63,10 +63,10 @@ class Searcher:
             raise ValueError(f"two outputs named {name}")
         if isinstance(what, Variable):
             source = what._source
-            made = Output(name, source.key, None, source.relation.hydrate, source.label, False)
+            made = Output(name, source.key, None, source.relation.hydrate, source.label, False, source.relation.hydrate_many)
         elif isinstance(what, Reference):
             target = what._owner.relation.references[what._name][1]()
-            made = Output(name, what._key, None, target.hydrate, what._text, False)
+            made = Output(name, what._key, None, target.hydrate, what._text, False, target.hydrate_many)
         elif isinstance(what, Value):
             self._atoms += what._atoms
             made = Output(name, what._column, what._exact, None, what._text, not what._atoms and len(what._sources) == 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -50,6 +50,7 @@ class Relation:
     hydrate: Callable[[int], object] | None = None
     opaque: frozenset[str] = frozenset()
     presence: dict[str, str] = field(default_factory=dict)
+    hydrate_many: Callable[[Sequence[int]], list[object]] | None = None
 
 
 def relation_of_frame(

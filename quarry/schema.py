@@ -88,6 +88,12 @@ class FieldSpec:
                 return [column(s, T.ArrayType(t)) for s, t in self.codec.columns]
         return [column("_sids", T.ArrayType(T.LongType()))]
 
+    @property
+    def identity_cells(self) -> list[tuple[str, T.DataType]]:
+        """Names and types of what an identity is made of: references count by their identities."""
+        kinds = {"reference": T.StringType(), "child_reference": T.ArrayType(T.StringType())}
+        return [(c.name, kinds.get(self.role, c.dataType)) for c in self.columns]
+
 
 @dataclass(frozen=True)
 class RecordSchema:
@@ -102,6 +108,17 @@ class RecordSchema:
                 return f
         raise AttributeError(f"{self.name} has no field {name}")
 
+    @property
+    def identity_fields(self) -> list[FieldSpec]:
+        """Fields that make up an identity: under ``by_value`` all but collections, else all that aren't marked."""
+        if self.dedup == "by_value":
+            return [f for f in self.fields if not f.role.startswith("child")]
+        return [f for f in self.fields if not f.marked(IdentitySkip)]
+
+    @property
+    def identity_head(self) -> str:
+        return f"{self.name}:{self.dedup}"
+
     @property
     def references(self) -> list[type]:
         return [f.kind for f in self.fields if f.role in ("reference", "child_reference")]

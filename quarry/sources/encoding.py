@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import dataclasses
-import hashlib
-import json
 import uuid
 from collections.abc import Callable
 from fractions import Fraction
@@ -12,6 +10,7 @@ from typing import Any
 
 from quarry.functions.codecs import FRACTION, checked
 from quarry.schema import FieldSpec, IdentitySkip, RecordSchema, Shape, resolve
+from quarry.sources.canonical import identity_text
 
 
 def tensor_cells(spec: FieldSpec, value: Any) -> tuple[list, list]:
@@ -25,13 +24,14 @@ def tensor_cells(spec: FieldSpec, value: Any) -> tuple[list, list]:
 class Encoder:
     """Turns objects into rows by table, each object once; references become identities.
 
-    A row's identity is the hash of its canonical JSON (content_id: all identity
-    fields; by_value: all but collections), with references by their identities;
-    records of policy ``none`` get a unique one.
+    A row's identity is the hash of the canonical texts of its identity cells, with
+    references by their identities; records of policy ``none`` get a unique one.
+    ``before`` has the number of rows by class that earlier encoders made.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, before: dict[type, int] | None = None) -> None:
         self.rows: dict[type, dict[str, dict[str, Any]]] = {}
+        self.before = before or {}
         self.conflicts: list[tuple[str, str]] = []
         self._seen: dict[int, tuple[str, Any]] = {}
         self._open: set[int] = set()
@@ -51,7 +51,7 @@ class Encoder:
         finally:
             self._open.discard(id(obj))
         identity = self._identity(schema, row)
-        flat = {"identity": identity, "role": role, "ordinal": len(self.rows.get(type(obj), ()))}
+        flat = {"identity": identity, "role": role, "ordinal": self.before.get(type(obj), 0) + len(self.rows.get(type(obj), ()))}
         for f in schema.fields:
             for column, cell in zip(f.columns, row[f.name], strict=True):
                 flat[column.name] = cell
@@ -70,12 +70,8 @@ class Encoder:
     def _identity(self, schema: RecordSchema, row: dict[str, list]) -> str:
         if schema.dedup == "none":
             return f"new-{uuid.uuid4().hex}"
-        fields = [f for f in schema.fields if not f.marked(IdentitySkip)]
-        if schema.dedup == "by_value":
-            fields = [f for f in schema.fields if not f.role.startswith("child")]
-        body = [schema.name, schema.dedup, [[f.name, row[f.name]] for f in fields]]
-        text = json.dumps(body, sort_keys=True, separators=(",", ":"), default=_plain, allow_nan=True)
-        return hashlib.sha256(text.encode()).hexdigest()
+        cells = [(*c, v) for f in schema.identity_fields for c, v in zip(f.identity_cells, row[f.name], strict=True)]
+        return identity_text(schema.identity_head, [(name, value, kind) for name, kind, value in cells])
 
     def _cells(self, f: FieldSpec, value: Any) -> list:
         if value is None:
@@ -104,12 +100,6 @@ class Encoder:
         return self.add(value, 0)
 
 
-def _plain(value: Any) -> Any:
-    if isinstance(value, bytes):
-        return ["bytes", value.hex()]
-    return ["text", str(value)]
-
-
 def decode(schema: RecordSchema, row: dict[str, Any], fetch: Callable[[type, int], Any]) -> Any:
     """The object of a row; ``fetch`` gives records that it refers to."""
     values = {}

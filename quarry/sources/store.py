@@ -7,10 +7,11 @@ newest complete manifest, so a commit is visible whole or not at all.
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,12 @@ from quarry.operators.searcher import Searcher, instant
 from quarry.plans.relation import Child, Relation
 from quarry.schema import FieldSpec, IdentitySkip, RecordSchema, Unique, resolve
 from quarry.sources import files
+from quarry.sources.canonical import identity_column
 from quarry.sources.encoding import Encoder, decode
 
 RESOLUTION = 1000
+#: Keys of at most this number are broadcast: 16 bytes each.
+BROADCAST_KEYS = 500_000
 CLOCK_GRACE_NS = 1_000_000
 
 
@@ -44,6 +48,10 @@ class LayoutError(ValueError):
     """The stored tables don't have the shape of the classes."""
 
 
+class IntegrityError(RuntimeError):
+    """What was written isn't what was staged; nothing was committed."""
+
+
 class RecordStore:
     """Stores object graphs of frozen dataclasses below ``root``, a path or URI of a shared folder."""
 
@@ -75,7 +83,16 @@ class RecordStore:
         if entry is None:
             return self.spark.createDataFrame([], schema.struct)
         self._verify(schema, entry)
-        return self.spark.read.schema(schema.struct).parquet(*[f"{self.root}/{p}" for p in entry["paths"]])
+        rows = self.spark.read.schema(schema.struct).parquet(*[f"{self.root}/{p}" for p in entry["paths"]])
+        if not entry.get("promoted"):
+            return rows
+        # Dependencies that were saved as roots later on; compact() takes this into the table.
+        raised = self.spark.read.schema("sid long").parquet(*[f"{self.root}/{p}" for p in entry["promoted"]])
+        raised = raised.select(F.col("sid").alias("_q_raised")).distinct()
+        raised = F.broadcast(raised) if entry["promoted_rows"] <= BROADCAST_KEYS else raised
+        role = F.when(F.col("_q_raised").isNotNull(), F.lit(1)).otherwise(F.col("role"))
+        joined = rows.join(raised, F.col("sid") == F.col("_q_raised"), "left").withColumn("role", role)
+        return joined.select(*schema.struct.names)
 
     def _verify(self, schema: RecordSchema, entry: dict[str, Any]) -> None:
         stored, now = entry["columns"], schema.fingerprint
@@ -120,6 +137,7 @@ class RecordStore:
             lambda sid: self.fetch(cls, sid),
             frozenset(opaque),
             presence,
+            lambda sids: self.fetch_many(cls, sids),
         )
 
     @staticmethod
@@ -193,22 +211,52 @@ class RecordStore:
     def save(self, obj: Any) -> int:
         return self.bulk_ingest([obj])[0]
 
-    def bulk_ingest(self, objects: Iterable[Any], *, verify_metadata: bool = True) -> list[int]:
-        """Save objects with all that they refer to; keys in their order.  All or nothing is committed."""
-        encoder, keys = Encoder(), []
-        for obj in objects:
-            keys.append((type(obj), encoder.add(obj)))
-        if encoder.conflicts and verify_metadata:
-            raise MetadataConflict(str(encoder.conflicts[:5]))
-        frames = {}
-        for cls, rows in encoder.rows.items():
-            schema = resolve(cls)
-            frames[cls] = self.spark.createDataFrame(list(rows.values()), staged(schema))
-        maps = self._ingest(frames, verify_metadata)
-        found: dict[tuple[type, str], int] = {}
-        for cls in {k for k, _ in keys}:
-            wanted = self.spark.createDataFrame([(i,) for k, i in keys if k is cls], "identity string").distinct()
-            found.update({(cls, r.identity): r.sid for r in maps[cls].join(wanted, "identity").collect()})
+    def bulk_ingest(
+        self,
+        objects: Iterable[Any],
+        *,
+        verify_metadata: bool = True,
+        chunk_size: int = 100_000,
+        track_sids: bool = True,
+        progress: Callable[[int], None] | None = None,
+    ) -> list[int]:
+        """Save objects with all that they refer to; keys in their order.  All or nothing is committed.
+
+        The driver holds ``chunk_size`` objects' graphs at a time; earlier ones are
+        staged in the store's folder.  Without ``track_sids`` no keys are returned.
+        ``progress`` gets the number of objects so far after each chunk.
+        """
+        work = f"work/{uuid.uuid4().hex}"
+        counts: dict[type, int] = {}
+        frames: dict[type, DataFrame] = {}
+        keys: list[tuple[type, str]] = []
+        objects, done = iter(objects), 0
+        try:
+            while chunk := list(itertools.islice(objects, chunk_size)):
+                encoder = Encoder(counts)
+                own = [(type(obj), encoder.add(obj)) for obj in chunk]
+                if encoder.conflicts and verify_metadata:
+                    raise MetadataConflict(str(encoder.conflicts[:5]))
+                whole = not done and len(chunk) < chunk_size  # the only chunk: nothing to stage
+                for cls, rows in encoder.rows.items():
+                    schema = resolve(cls)
+                    counts[cls] = counts.get(cls, 0) + len(rows)
+                    frames[cls] = self.spark.createDataFrame(list(rows.values()), staged(schema))
+                    if not whole:
+                        path = f"{self.root}/{work}/{schema.name}"
+                        frames[cls].write.mode("append").parquet(path)
+                        frames[cls] = self.spark.read.schema(staged(schema)).parquet(path)
+                keys += own if track_sids else []
+                done += len(chunk)
+                if progress is not None:
+                    progress(done)
+            maps = self._ingest(frames, verify_metadata) if frames else {}
+            found: dict[tuple[type, str], int] = {}
+            for cls in {k for k, _ in keys}:
+                wanted = self.spark.createDataFrame([(i,) for k, i in keys if k is cls], "identity string").distinct()
+                found.update({(cls, r.identity): r.sid for r in maps[cls].join(wanted, "identity").collect()})
+        finally:
+            files.delete(self.spark, f"{self.root}/{work}")
         return [found[k] for k in keys]
 
     def ingest_frame(self, cls: type, rows: DataFrame, *, verify_metadata: bool = True) -> DataFrame:
@@ -220,17 +268,40 @@ class RecordStore:
         schema = resolve(cls)
         columns = [c for f in schema.fields for c in f.columns]
         typed = rows.select(*[F.col(c.name).cast(c.dataType) for c in columns])
-        if schema.dedup == "none":
-            identity = F.concat(F.lit("new-"), F.uuid())
-        else:
-            kept = [f for f in schema.fields if not f.marked(IdentitySkip)]
-            if schema.dedup == "by_value":
-                kept = [f for f in schema.fields if not f.role.startswith("child")]
-            identity = dataflow.content_hash([F.lit(schema.name), *[F.col(c.name) for f in kept for c in f.columns]])
-        stage = typed.withColumns({"identity": identity, "role": F.lit(1)}).withColumn("ordinal", F.xxhash64("identity"))
+        stage = self._identified(schema, typed).withColumn("role", F.lit(1)).withColumn("ordinal", F.xxhash64("identity"))
         return self._ingest({cls: stage}, verify_metadata, resolved=True)[cls]
 
-    def _ingest(self, stages: dict[type, DataFrame], verify: bool, resolved: bool = False, lineage: int | None = None) -> dict[type, DataFrame]:
+    def _identified(self, schema: RecordSchema, rows: DataFrame) -> DataFrame:
+        """``rows``, whose references are keys, with the identity that the same objects would get."""
+        if schema.dedup == "none":
+            return rows.withColumn("identity", F.concat(F.lit("new-"), F.uuid()))
+        names = rows.columns
+        held = {}
+        referring = [f for f in schema.identity_fields if f.role in ("reference", "child_reference")]
+        if any(f.role == "child_reference" for f in referring):
+            rows = self._written(rows.withColumn("_q_row", F.monotonically_increasing_id()), f"work/{uuid.uuid4().hex}")
+        for n, f in enumerate(referring):
+            column, own = f.columns[0].name, f"_q_of{n}"
+            target = self.table(f.kind).select(F.col("sid").alias("_q_sid"), F.col("identity").alias(own))
+            if f.role == "reference":
+                rows = rows.join(target, F.col(column) == F.col("_q_sid"), "left").drop("_q_sid")
+            else:
+                each = rows.select("_q_row", F.posexplode(column).alias("_q_at", "_q_to")).join(target, F.col("_q_to") == F.col("_q_sid"), "left")
+                lists = each.groupBy("_q_row").agg(F.sort_array(F.collect_list(F.struct("_q_at", own))).alias("_q_list"))
+                empty = F.when(F.col(column).isNotNull(), F.array().cast("array<string>"))
+                rows = rows.join(lists, "_q_row", "left").withColumn(own, F.coalesce(F.transform("_q_list", lambda x: x[own]), empty)).drop("_q_list")
+            held[column] = own
+        cells = [(name, F.col(held.get(name, name)), kind) for f in schema.identity_fields for name, kind in f.identity_cells]
+        return rows.withColumn("identity", identity_column(schema.identity_head, cells)).select(*names, "identity")
+
+    def _ingest(
+        self, stages: dict[type, DataFrame], verify: bool, resolved: bool = False, lineage: tuple[type, str, int] | None = None
+    ) -> dict[type, DataFrame]:
+        """Commit staged rows and return (identity, sid) of all of them by class.
+
+        Rows whose identity is stored stay as they are, but for the role of one that
+        now comes as a root.  ``lineage`` puts a new record (class, identity) into one.
+        """
         base = self.version()
         manifest = self.manifest()
         now = time.time_ns()
@@ -240,6 +311,7 @@ class RecordStore:
         commit = f"data/{base + 1:010d}-{uuid.uuid4().hex}"
         maps: dict[type, DataFrame] = {}
         fresh: dict[type, DataFrame] = {}
+        promoted: dict[str, tuple[str, int]] = {}
         for cls, stage in stages.items():
             schema = resolve(cls)
             stage = self._written(stage, f"{commit}/stage/{schema.name}")
@@ -260,23 +332,39 @@ class RecordStore:
             last = manifest["tables"].get(schema.name, {}).get("last_sid", 0)
             numbered = dataflow.dense_numbers(new, "ordinal", "n").withColumn("sid", F.col("n") + last).drop("n", "ordinal")
             fresh[cls] = self._written(numbered, f"{commit}/numbered/{schema.name}")
-            mine = stage.select("identity").distinct()
-            maps[cls] = fresh[cls].select("identity", "sid").unionByName(known.join(mine, "identity", "left_semi"))
+            mine = firsts.select("identity", F.col("role").alias("_q_role"))
+            met = self._written(stored.select("identity", "sid", "role").join(mine, "identity"), f"{commit}/met/{schema.name}")
+            raised = met.filter("_q_role > role").select("sid")
+            if n := raised.count():
+                raised.write.parquet(f"{self.root}/{commit}/raised/{schema.name}")
+                promoted[schema.name] = f"{commit}/raised/{schema.name}", n
+            maps[cls] = fresh[cls].select("identity", "sid").unionByName(met.select("identity", "sid"))
         tables = dict(manifest["tables"])
+        for name, (path, n) in promoted.items():
+            entry = tables[name]
+            tables[name] = entry | {"promoted": [*entry.get("promoted", []), path], "promoted_rows": entry.get("promoted_rows", 0) + n}
         for cls, rows in fresh.items():
             schema = resolve(cls)
+            staged_rows = rows.count()
+            if not staged_rows:
+                continue
             if not resolved:
                 rows = self._resolved(schema, rows, maps)
-            rows = rows.withColumns(
-                {"store_timestamp": F.lit(stamp // RESOLUTION), "logical_id": F.col("sid") if lineage is None else F.lit(lineage)}
-            )
+            logical = F.col("sid")
+            if lineage is not None and cls is lineage[0]:
+                logical = F.when(F.col("identity") == lineage[1], F.lit(lineage[2])).otherwise(logical)
+            rows = rows.withColumns({"store_timestamp": F.lit(stamp // RESOLUTION), "logical_id": logical})
             path = f"{commit}/{schema.name}"
             rows.select(*[F.col(c.name).cast(c.dataType) for c in schema.struct]).write.parquet(f"{self.root}/{path}")
             entry = tables.get(schema.name, {"paths": [], "last_sid": 0})
             count = self.spark.read.parquet(f"{self.root}/{path}").count()
-            if count:
-                tables[schema.name] = {"paths": [*entry["paths"], path], "columns": schema.fingerprint, "last_sid": entry["last_sid"] + count}
-        self._commit(base, {"tables": tables, "stamp": stamp})
+            if count != staged_rows:
+                raise IntegrityError(f"{schema.name}: {count} rows written of {staged_rows}")
+            tables[schema.name] = entry | {"paths": [*entry["paths"], path], "columns": schema.fingerprint, "last_sid": entry["last_sid"] + count}
+        if tables != manifest["tables"]:
+            self._commit(base, {"tables": tables, "stamp": stamp})
+        for part in ("stage", "new"):  # what the maps read stays until vacuum()
+            files.delete(self.spark, f"{self.root}/{commit}/{part}")
         return maps
 
     def _written(self, rows: DataFrame, path: str) -> DataFrame:
@@ -321,20 +409,8 @@ class RecordStore:
             if stored[0].logical_id != rows[0].logical_id:
                 raise ReplacementError(f"{schema_name(cls)} {stored[0].sid} belongs to another lineage")
             return stored[0].sid
-        nested = {k: v for k, v in encoder.rows.items() if k is not cls or len(v) > 1}
-        if nested:
-            for part in [getattr(new, f.name) for f in resolve(cls).fields if f.role == "reference"]:
-                if part is not None:
-                    self.save(part)
-            for f in resolve(cls).fields:
-                if f.role == "child_reference" and getattr(new, f.name):
-                    self.bulk_ingest(getattr(new, f.name))
-        row = encoder.rows[cls][identity]
-        maps = {k: self.table(k).select("identity", "sid") for k in resolve(cls).references}
-        schema = resolve(cls)
-        stage = self.spark.createDataFrame([row], staged(schema)).withColumn("sid", F.lit(0).cast("long"))
-        stage = self._resolved(schema, stage, maps).drop("sid")
-        made = self._ingest({cls: stage}, True, resolved=True, lineage=rows[0].logical_id)
+        frames = {k: self.spark.createDataFrame(list(v.values()), staged(resolve(k))) for k, v in encoder.rows.items()}
+        made = self._ingest(frames, True, lineage=(cls, identity, rows[0].logical_id))
         return made[cls].filter(F.col("identity") == identity).first().sid
 
     def history(self, obj: Any) -> list[Any]:
@@ -408,8 +484,55 @@ class RecordStore:
         base, manifest, schema = self.version(), self.manifest(), resolve(cls)
         path = f"data/{base + 1:010d}-{uuid.uuid4().hex}/{schema.name}"
         self.table(cls).sort("sid").write.parquet(f"{self.root}/{path}")
-        entry = manifest["tables"][schema.name] | {"paths": [path], "columns": schema.fingerprint}
-        self._commit(base, manifest | {"tables": manifest["tables"] | {schema.name: entry}})
+        self._commit(base, manifest | {"tables": manifest["tables"] | {schema.name: _rewritten(manifest, schema, path)}})
+
+    def collect_garbage(self, classes: Sequence[type]) -> dict[str, int]:
+        """Delete the dependency rows of ``classes`` that no root reaches, as one commit; their numbers by class.
+
+        ``classes`` must hold every class that refers to one of them.
+        """
+        base, manifest = self.version(), self.manifest()
+        commit = f"data/{base + 1:010d}-{uuid.uuid4().hex}"
+        tables, gone = dict(manifest["tables"]), {}
+        lost = self.unreachable(classes)
+        for cls in classes:
+            schema = resolve(cls)
+            if not (n := lost[schema.name].count()):
+                continue
+            path = f"{commit}/{schema.name}"
+            self.table(cls).join(lost[schema.name], "sid", "left_anti").write.parquet(f"{self.root}/{path}")
+            tables[schema.name], gone[schema.name] = _rewritten(manifest, schema, path), n
+        if gone:
+            self._commit(base, manifest | {"tables": tables})
+        return gone
+
+    def vacuum(self) -> int:
+        """Delete files of commits that the newest version doesn't read, and working files; how many folders went.
+
+        Nobody may be writing, or reading an older version.
+        """
+        used = {p for e in self.manifest()["tables"].values() for p in [*e["paths"], *e.get("promoted", [])]}
+        gone = 0
+        for commit in files.names(self.spark, f"{self.root}/data"):
+            for part in files.names(self.spark, f"{self.root}/data/{commit}"):
+                mine = f"data/{commit}/{part}"
+                if not any(p == mine or p.startswith(f"{mine}/") for p in used):
+                    files.delete(self.spark, f"{self.root}/{mine}")
+                    gone += 1
+            if not files.names(self.spark, f"{self.root}/data/{commit}"):
+                files.delete(self.spark, f"{self.root}/data/{commit}")
+        files.delete(self.spark, f"{self.root}/work")
+        return gone
+
+    def snapshot_cutoff_ns(self) -> int:
+        """The time of the newest commit: a search as of it sees what is stored now, and nothing later."""
+        return self.manifest()["stamp"]
+
+
+def _rewritten(manifest: dict[str, Any], schema: RecordSchema, path: str) -> dict[str, Any]:
+    """The entry of a table that ``path`` alone makes up."""
+    entry = {k: v for k, v in manifest["tables"][schema.name].items() if not k.startswith("promoted")}
+    return entry | {"paths": [path], "columns": schema.fingerprint}
 
 
 def schema_name(cls: type) -> str:

@@ -18,35 +18,35 @@ from quarry.sources.providers import (
 )
 from quarry.sources.store import ConcurrentCommit, RecordStore
 from quarry.streaming.ingest import ingest_stream
-from tests.records import MATERIALS, TAGS, Assembly, Material, Paper, Part, Tag
+from tests.records import INSPECTIONS, VOYAGES, Cargo, Crate, Inspection, Ship, Voyage
 
 
 @pytest.fixture(scope="module")
 def provider(spark, tmp_path_factory):
     store = RecordStore(spark, f"file://{tmp_path_factory.mktemp('served')}")
-    store.bulk_ingest([*MATERIALS[:3], *TAGS])
-    links = {"materials": [(Tag, "rec", "rec")]}
-    return StoreEntryProvider(store, {"materials": Material, "papers": Paper}, links=links)
+    store.bulk_ingest([*VOYAGES[:3], *INSPECTIONS])
+    links = {"voyages": [(Inspection, "voyage", "voyage")]}
+    return StoreEntryProvider(store, {"voyages": Voyage, "ships": Ship}, links=links)
 
 
 def test_entries_and_definitions(provider):
-    assert provider.entry_types()["materials"]["symbols"] == {"type": "list of string", "nullable": False}
-    rows = {r["formula"]: r for r in provider.records("materials")}
-    assert rows["NaCl"]["symbols"] == ["Na", "Cl"] and rows["NaCl"]["energy"] == 0.5 and rows["NaCl"]["type"] == "materials"
-    assert set(next(provider.records("materials", ["formula"]))) == {"id", "type", "formula"}
-    read = provider.frame("materials", ["formula"])._jdf.queryExecution().executedPlan().toString()
-    assert "symbols" not in read
+    assert provider.entry_types()["voyages"]["ports"] == {"type": "list of string", "nullable": False}
+    rows = {r["code"]: r for r in provider.records("voyages")}
+    assert rows["V-12"]["ports"] == ["Kiel", "Turku"] and rows["V-12"]["freight"] == -0.5 and rows["V-12"]["type"] == "voyages"
+    assert set(next(provider.records("voyages", ["code"]))) == {"id", "type", "code"}
+    read = provider.frame("voyages", ["code"])._jdf.queryExecution().executedPlan().toString()
+    assert "ports" not in read
 
 
 def test_relationships_keep_first_mention(provider):
-    got = {(r.id, r.target_type): r.target_ids for r in provider.relationships("materials").collect()}
-    assert got["materials-1", "papers"] == ["papers-1"] and got["materials-1", "materials"] == ["materials-1"]
-    assert provider.relationships("papers").count() == 0
+    got = {(r.id, r.target_type): r.target_ids for r in provider.relationships("voyages").collect()}
+    assert got["voyages-1", "ships"] == ["ships-1"] and got["voyages-1", "voyages"] == ["voyages-1"]
+    assert provider.relationships("ships").count() == 0
 
 
 def test_export(provider, tmp_path, spark):
     manifest = export_dataset(provider, f"file://{tmp_path}/out")
-    assert manifest["entries"] == {"materials": 3, "papers": 2}
+    assert manifest["entries"] == {"voyages": 3, "ships": 2}
     assert json.loads(read_text(spark, f"file://{tmp_path}/out/manifest.json")) == manifest
     zip_folder(Path(tmp_path / "out"), Path(tmp_path / "out.zip"))
     assert (tmp_path / "out.zip").stat().st_size > 1000
@@ -63,17 +63,17 @@ def test_validation(spark):
 
 
 def test_stream_is_ingested_once(spark, tmp_path):
-    spark.range(60).selectExpr("concat('d', id % 20) AS doi", "'t' AS title").repartition(3).write.parquet(f"{tmp_path}/in")
+    spark.range(60).selectExpr("concat('d', id % 20) AS name", "7 AS built").repartition(3).write.parquet(f"{tmp_path}/in")
     store = RecordStore(spark, f"file://{tmp_path}/store")
     for _ in range(2):  # the second run replays everything
-        stream = spark.readStream.schema("doi string, title string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        ingest_stream(store, Paper, stream, f"{tmp_path}/check{_}").awaitTermination()
-    assert store.table(Paper).count() == 20
+        stream = spark.readStream.schema("name string, built int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        ingest_stream(store, Ship, stream, f"{tmp_path}/check{_}").awaitTermination()
+    assert store.table(Ship).count() == 20
 
 
 def test_only_one_writer_commits(spark, tmp_path):
     store = RecordStore(spark, f"file://{tmp_path}")
-    store.save(MATERIALS[0])
+    store.save(VOYAGES[0])
     with pytest.raises(ConcurrentCommit):
         store._commit(0, {})
     assert store.version() == 1
@@ -81,16 +81,16 @@ def test_only_one_writer_commits(spark, tmp_path):
 
 def test_findings_of_integrity_checks(spark, tmp_path):
     store = RecordStore(spark, f"file://{tmp_path}")
-    store.save(Assembly("a", [Part("p", 1)]))
-    parts = store.table(Part).count()
-    assert parts == 1 and store.unreachable([Assembly, Part])["part"].count() == 0
+    store.save(Cargo([Crate(1, "p")], "a"))
+    parts = store.table(Crate).count()
+    assert parts == 1 and store.unreachable([Cargo, Crate])["crate"].count() == 0
     alone = RecordStore(spark, f"file://{tmp_path}/other")
     manifest = store.manifest()
-    manifest["tables"].pop("part")
-    manifest["tables"]["assembly"]["paths"] = [f"../{p}" for p in manifest["tables"]["assembly"]["paths"]]
+    manifest["tables"].pop("crate")
+    manifest["tables"]["cargo"]["paths"] = [f"../{p}" for p in manifest["tables"]["cargo"]["paths"]]
     alone._commit(0, manifest)
-    findings = alone.fsck([Assembly, Part])
-    assert findings["assembly.parts: dangling"].count() == 1
+    findings = alone.fsck([Cargo, Crate])
+    assert findings["cargo.crates: dangling"].count() == 1
 
 
 def test_set_wise_steps(spark):
