@@ -46,16 +46,19 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
 
 
 def map_batches(
-    df: DataFrame, schema: str, task: Callable[[], Callable[[pa.RecordBatch], dict[str, Iterable]]], limit: int = SLICE_BYTES
+    df: DataFrame, schema: str, task: Callable[[], Callable[[pa.RecordBatch], dict[str, Iterable]]], limit: int = SLICE_BYTES, *, holds: bool = False
 ) -> DataFrame:
     """``df`` mapped by the function that ``task()`` makes once for each task.
 
     The function takes a slice of a batch of about ``limit`` bytes and returns columns by name.
+    Without ``holds`` the task first lets go of what earlier ones of its worker hold.
     """
     struct: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            let_go()
         work = task()
         for batch in batches:
             for part in slices(batch, limit):

@@ -232,7 +232,7 @@ def tokenised_pieces(
         return work
 
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids
-    return map_batches(docs.select(F.col(id_col).cast("long"), text_or_empty(text_col)), schema, task, 4 << 20)
+    return map_batches(docs.select(F.col(id_col).cast("long"), text_or_empty(text_col)), schema, task, 4 << 20, holds=True)
 
 
 def pack(

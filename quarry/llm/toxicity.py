@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow_map import map_batches, slices
+from quarry.llm.arrow_map import let_go, map_batches, slices
 from quarry.llm.boosting import Boosted, Isotonic, fit, isotonic
 from quarry.llm.storage import materialize, text_or_empty
 
@@ -40,7 +40,8 @@ SECOND_PERSON = frozenset(
     votre vos ti contigo tuyo tuya usted ustedes vosotros""".split()
 )
 NEAR = 6
-MEMO_WORDS = 300_000
+#: Words that a task remembers, about 150 bytes each.
+MEMO_WORDS = 150_000
 NOTHING = (0.0, False)
 
 
@@ -297,6 +298,7 @@ def drop_toxic(
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         fitted = sent.value
         lexicon = Lexicon(fitted.odds)
         for batch in batches:
