@@ -468,7 +468,7 @@ class Variable:
             return Collection(source, relation.children[name], encode)
         if name in relation.presence:
             return Value(source.column(relation.presence[name]).isNotNull(), label, {source})
-        special = {"sid": relation.key, "logical_id": relation.logical, "store_timestamp": relation.timestamp}.get(name)
+        special = {"sid": relation.key, "logical_id": relation.logical, "store_timestamp": relation.timestamp, "content_id": relation.identity}.get(name)
         if special is None:
             raise AttributeError(f"{relation.name} has no field {name}")
         return Value(source.column(special), label, {source})

@@ -50,6 +50,7 @@ class Relation:
     hydrate: Callable[[int], object] | None = None
     opaque: frozenset[str] = frozenset()
     presence: dict[str, str] = field(default_factory=dict)
+    identity: str | None = None
     hydrate_many: Callable[[Sequence[int]], list[object]] | None = None
 
 

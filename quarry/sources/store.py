@@ -137,6 +137,7 @@ class RecordStore:
             lambda sid: self.fetch(cls, sid),
             frozenset(opaque),
             presence,
+            "identity" if schema.dedup == "content_id" else None,
             lambda sids: self.fetch_many(cls, sids),
         )
 

@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 
 from quarry.operators import dataflow
+from quarry.operators.entries import DuplicateEntryId, EntryFederation, EntrySource, StoredProperty
+from quarry.operators.filters import FilterError, Translator, filter_predicate
 from quarry.sources.files import read_text
 from quarry.sources.providers import (
     FrameEntryProvider,
@@ -52,6 +54,70 @@ def test_export(provider, tmp_path, spark):
     assert (tmp_path / "out.zip").stat().st_size > 1000
 
 
+@pytest.fixture(scope="module")
+def entries(spark, tmp_path_factory):
+    one, two = (RecordStore(spark, f"file://{tmp_path_factory.mktemp(n)}") for n in ("one", "two"))
+    one.bulk_ingest(VOYAGES[:4])
+    two.bulk_ingest([*VOYAGES[4:], VOYAGES[0], Cargo([Crate(1, "p")], "V-99")])
+    voyage = {
+        "code": StoredProperty("string", lambda v: v.code),
+        "days": StoredProperty("integer", lambda v: v.days),
+        "weeks": StoredProperty("integer", lambda v: v.days, lambda v, op, n: Translator.operator(v.days, op, 7 * n)),
+        "ship": StoredProperty("string", lambda v: v.ship.name),
+    }
+    cargo = {"code": StoredProperty("string", lambda v: v.bill), "days": StoredProperty("integer", lambda v: v.crates.length()), "ship": StoredProperty("string", lambda v: v.memo)}
+    cargo["weeks"] = cargo["days"]
+    sources = [EntrySource("one", one, {Voyage: voyage}, "a/"), EntrySource("two", two, {Voyage: voyage, Cargo: cargo}, "b/")]
+    return EntryFederation(sources, "trips")
+
+
+def test_entry_pages_of_several_sources(entries):
+    page = entries.query(limit=5)
+    assert (page.total, page.more, [r["code"] for r in page.rows]) == (9, True, ["V-11", "V-12", "V-20", "V-21", "W-01"])
+    assert [r["code"] for r in entries.query(offset=5).rows] == ["W-02", "W-1%", "V-11", "V-99"]
+    by_days = entries.query(sort=[("days", True), ("code", False)], limit=4, fields=["code"])
+    assert [r["code"] for r in by_days.rows] == ["V-21", "V-11", "V-11", "W-01"] and set(by_days.rows[0]) == {"id", "type", "code"}
+    ships = entries.query(sort=[("ship", False)]).rows
+    assert [r["ship"] for r in ships] == ["Aurora"] * 3 + ["Boreas"] * 2 + ["Cirrus"] + [None] * 3
+    only = entries.query(limit=0)
+    assert (only.rows, only.total, only.more) == ([], 9, True)
+
+
+def test_entry_filters_and_ids(entries):
+    def codes(text):
+        return {r["code"] for r in entries.query(text).rows}
+
+    assert codes("weeks > 1 AND days < 20") == {"V-11", "W-01"} and codes('ship = "Boreas" OR code = "V-99"') == {"V-20", "V-21", "V-99"}
+    assert codes("2 <= weeks") == {"V-21"} and codes("ship IS UNKNOWN") == {"W-01", "W-02", "V-99"} and codes("_x_y = 1") == set()
+    with pytest.raises(FilterError):
+        codes("nothing = 1")
+    one = entries.query('code = "V-12"').rows[0]
+    assert entries.fetch(one["id"]) == one and one["id"].startswith("a/") and entries.fetch("a/none") is None
+    assert codes(f'id = "{one["id"]}"') == {"V-12"} and codes('id = "zz"') == set() and one["type"] == "trips"
+    with pytest.raises(ValueError):
+        entries.query(limit=-1)
+
+
+def test_duplicate_public_ids_are_found(entries):
+    assert entries.duplicate_ids().count() == 0
+    same = EntryFederation([EntrySource(s.name, s.store, s.properties) for s in entries.sources], "trips")
+    assert [len(r.origins) for r in same.duplicate_ids().collect()] == [2]
+    with pytest.raises(DuplicateEntryId):
+        same.query(limit=1)
+    assert [r["code"] for r in same.query(offset=1, limit=2).rows] == ["V-12", "V-20"]
+    with pytest.raises(DuplicateEntryId):
+        same.fetch(same.duplicate_ids().first().id)
+
+
+def test_related_ids(provider):
+    s = provider.store.searcher()
+    v = s.variable(Voyage)
+    s.add(filter_predicate('ships.id HAS "ships-1" AND NOT ships.id HAS ANY "ships-2","other-1"', v, relationships={"ships": "ship"}))
+    assert set(s.results(c=v.code).scalars()) == {"V-11", "V-12"}
+    with pytest.raises(FilterError):
+        filter_predicate('ships.id = "ships-1"', v, relationships={"ships": "ship"})
+
+
 def test_validation(spark):
     rules = {"id": {"type": "string"}, "n": {"type": "integer", "nullable": False}, "tags": {"type": "list of string"}}
     validate_record({"id": "a", "n": 1, "tags": ["x", None]}, rules)
