@@ -69,13 +69,19 @@ class Atom:
 
 @dataclass(frozen=True, eq=False)
 class Predicate:
-    """A boolean column with the sources and atoms that it needs."""
+    """A boolean column with the sources and atoms that it needs.
+
+    ``test`` is set where the predicate is nothing but whether an atom's scope has a
+    row that satisfies its condition (true), or has none (false): as a conjunct
+    that needs a semi-join and no aggregate.
+    """
 
     column: Column
     sources: frozenset[Source] = frozenset()
     atoms: tuple[Atom, ...] = ()
     text: str = ""
     parts: tuple[Predicate, ...] = ()
+    test: tuple[Atom, bool] | None = None
 
     def _with(self, other: Predicate, column: Column, sign: str, parts: tuple[Predicate, ...] = ()) -> Predicate:
         if not isinstance(other, Predicate):
@@ -90,7 +96,8 @@ class Predicate:
         return self._with(other, self.column | other.column, "OR")
 
     def __invert__(self) -> Predicate:
-        return Predicate(~self.column, self.sources, self.atoms, f"NOT {self.text}")
+        test = (self.test[0], not self.test[1]) if self.test else None
+        return Predicate(~self.column, self.sources, self.atoms, f"NOT {self.text}", test=test)
 
     def __bool__(self) -> bool:
         raise TypeError("a predicate has no truth value; combine predicates with &, | and ~")
@@ -227,7 +234,8 @@ class Scope:
 
     def exists(self, predicate: Predicate | None = None) -> Predicate:
         atom = self._atom(lambda c: F.max(F.coalesce(c, F.lit(False))), predicate, False)
-        return Predicate(F.col(atom.name), frozenset({self._owner}), (atom,), f"EXISTS {self._source.label}({atom.condition.text})")
+        text = f"EXISTS {self._source.label}({atom.condition.text})"
+        return Predicate(F.col(atom.name), frozenset({self._owner}), (atom,), text, test=(atom, True))
 
     def count(self, predicate: Predicate | None = None) -> Value:
         atom = self._atom(lambda c: F.count_if(F.coalesce(c, F.lit(False))), predicate, 0)
@@ -292,7 +300,7 @@ class Collection:
             return Predicate(found, frozenset({self._owner}), (), text)
         scope = child_scope(self._owner, self._child.name)
         out = scope.exists(Predicate(test(scope.value._column), frozenset({scope._source}), text=text))
-        return Predicate(out.column, out.sources, out.atoms, text)
+        return Predicate(out.column, out.sources, out.atoms, text, test=out.test)
 
     def _members(self, values: Iterable[Any]) -> list[Any]:
         if any(v is None for v in values):
@@ -335,7 +343,8 @@ class Collection:
         """No element outside ``values``; true for an empty and for a null collection."""
         members = self._members(values)
         outside = self._some(lambda v: v.isNotNull() & ~v.isin(members) if members else v.isNotNull(), "outside")
-        return Predicate((~outside).column, outside.sources, outside.atoms, f"{self._text} HAS ONLY {values!r}")
+        none = ~outside
+        return Predicate(none.column, none.sources, none.atoms, f"{self._text} HAS ONLY {values!r}", test=none.test)
 
     def is_in(self, *values: Any) -> Predicate:
         return self.has_only(*values)

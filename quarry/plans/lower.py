@@ -35,8 +35,8 @@ def with_references(frame: DataFrame, source: Source, as_of: Column | None) -> D
     return frame
 
 
-def scope_rows(atom: Atom, as_of: Column | None) -> tuple[DataFrame, str]:
-    """Rows of an atom's scope with its condition's own atoms, and their parent key column."""
+def child_rows(atom: Atom, as_of: Column | None) -> tuple[DataFrame, str]:
+    """Rows of an atom's scope, and their parent key column."""
     scope = atom.scope
     if scope.child is None:
         rows, parent = scope.renamed(scope.relation.frame()), f"{scope.tag}{scope.link}"
@@ -57,6 +57,13 @@ def scope_rows(atom: Atom, as_of: Column | None) -> tuple[DataFrame, str]:
         records = target.renamed(target.relation.frame())
         rows = rows.join(records, scope.column(scope.child.value) == target.key)
         rows = with_references(rows, target, as_of)
+    return rows, parent
+
+
+def scope_rows(atom: Atom, as_of: Column | None) -> tuple[DataFrame, str]:
+    """Rows of an atom's scope with the atoms of its condition, and their parent key column."""
+    rows, parent = child_rows(atom, as_of)
+    scope = atom.scope
     own = [a for a in atom.condition.atoms if a.owner in set(scope.walk())]
     rows = with_atoms(rows, own, as_of)
     for sibling in (a for a in atom.condition.atoms if a not in own):
@@ -64,6 +71,39 @@ def scope_rows(atom: Atom, as_of: Column | None) -> tuple[DataFrame, str]:
     return rows, parent
 
 
+def passing_rows(atom: Atom, as_of: Column | None) -> tuple[DataFrame, str, Column]:
+    """Rows of an atom's scope that satisfy what its condition says of them alone, their parent key, and the rest of it."""
+    rows, parent = child_rows(atom, as_of)
+    mine, rest = set(atom.scope.walk()), F.lit(True)
+    aggregated = []
+    for c in atom.condition.conjuncts():
+        if not c.atoms and not c.sources <= mine:
+            rest = rest & c.column  # on rows of a sibling, too
+        elif not c.atoms:
+            rows = rows.filter(c.column)
+        elif c.test and c.test[0].owner in mine:
+            rows = tested(rows, c.test[0].owner.key, c.test, as_of)
+        elif c.test and c.sources <= mine | {atom.owner}:
+            rows = tested(rows, F.col(parent), c.test, as_of)  # another collection of the same parent
+        else:
+            aggregated.append(c)
+    if aggregated:
+        atoms = [a for c in aggregated for a in c.atoms]
+        rows = with_atoms(rows, [a for a in atoms if a.owner in mine], as_of)
+        for sibling in (a for a in atoms if a.owner not in mine):
+            rows = with_sibling(rows, parent, sibling, as_of)
+        for c in aggregated:
+            rows = rows.filter(c.column)
+    return rows, parent, rest
+
+
+def tested(frame: DataFrame, key: Column, test: tuple[Atom, bool], as_of: Column | None) -> DataFrame:
+    """Rows of ``frame`` for whose ``key`` an atom's scope has, or has no, row that passes: a semi- or anti-join."""
+    atom, wanted = test
+    rows, parent, rest = passing_rows(atom, as_of)
+    return frame.join(rows, (key == F.col(parent)) & rest, "left_semi" if wanted else "left_anti")
+
+
 def with_sibling(rows: DataFrame, parent: str, atom: Atom, as_of: Column | None) -> DataFrame:
     """An atom of another collection of the same parent, whose condition may refer to ``rows``."""
     others, other_parent = scope_rows(atom, as_of)
@@ -115,13 +155,17 @@ def build(
     for variable in variables:
         frame = with_references(source_frame(variable, as_of, only_latest), variable, as_of)
         own = [c for c in conjuncts if roots(c) <= {variable} and c.sources]
-        plain, tested = [c for c in own if not c.atoms], [c for c in own if c.atoms]
-        for c in plain:
-            frame = frame.filter(c.column)
-        atoms = [a for c in conjuncts for a in c.atoms if home.get(a.owner) is variable]
+        for c in own:
+            if not c.atoms:
+                frame = frame.filter(c.column)
+        joined = [c for c in own if c.test]
+        for c in joined:
+            frame = tested(frame, c.test[0].owner.key, c.test, as_of)
+        atoms = [a for c in conjuncts if c not in joined for a in c.atoms if home.get(a.owner) is variable]
         frame = with_atoms(frame, [*atoms, *(a for a in more if home.get(a.owner) is variable)], as_of)
-        for c in tested:
-            frame = frame.filter(c.column)
+        for c in own:
+            if c.atoms and c not in joined:
+                frame = frame.filter(c.column)
         placed.add(variable)
         if out is None:
             out = frame
