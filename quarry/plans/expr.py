@@ -73,7 +73,7 @@ class Predicate:
 
     ``test`` is set where the predicate is nothing but whether an atom's scope has a
     row that satisfies its condition (true), or has none (false): as a conjunct
-    that needs a semi-join and no aggregate.
+    that needs a semi-join and no aggregate.  ``by_python`` predicates can't be join conditions.
     """
 
     column: Column
@@ -82,12 +82,14 @@ class Predicate:
     text: str = ""
     parts: tuple[Predicate, ...] = ()
     test: tuple[Atom, bool] | None = None
+    by_python: bool = False
 
     def _with(self, other: Predicate, column: Column, sign: str, parts: tuple[Predicate, ...] = ()) -> Predicate:
         if not isinstance(other, Predicate):
             raise TypeError(f"not a predicate: {other!r}")
         text = f"({self.text} {sign} {other.text})"
-        return Predicate(column, self.sources | other.sources, self.atoms + other.atoms, text, parts)
+        python = self.by_python or other.by_python
+        return Predicate(column, self.sources | other.sources, self.atoms + other.atoms, text, parts, by_python=python)
 
     def __and__(self, other: Predicate) -> Predicate:
         return self._with(other, self.column & other.column, "AND", (self, other))
@@ -97,7 +99,7 @@ class Predicate:
 
     def __invert__(self) -> Predicate:
         test = (self.test[0], not self.test[1]) if self.test else None
-        return Predicate(~self.column, self.sources, self.atoms, f"NOT {self.text}", test=test)
+        return Predicate(~self.column, self.sources, self.atoms, f"NOT {self.text}", test=test, by_python=self.by_python)
 
     def __bool__(self) -> bool:
         raise TypeError("a predicate has no truth value; combine predicates with &, | and ~")
@@ -205,13 +207,13 @@ def scaled_exactly_equal(left: Value, left_factor: int, right: Value, right_fact
     exact = scaled_equal(left._exact, F.lit(str(left_factor)), right._exact, F.lit(str(right_factor)))
     column = F.when(~near, F.lit(False)).otherwise(exact)
     text = f"{left._text} * {left_factor} == {right._text} * {right_factor}"
-    return Predicate(column, left._sources | right._sources, left._atoms + right._atoms, text)
+    return Predicate(column, left._sources | right._sources, left._atoms + right._atoms, text, by_python=True)
 
 
 def when_known(known: Predicate, predicate: Predicate) -> Predicate:
     """``predicate`` where ``known`` holds, unknown elsewhere, also under negation."""
     both = known & predicate
-    return Predicate(F.when(known.column, predicate.column), both.sources, both.atoms, f"WHEN {known.text} THEN {predicate.text}")
+    return Predicate(F.when(known.column, predicate.column), both.sources, both.atoms, f"WHEN {known.text} THEN {predicate.text}", by_python=both.by_python)
 
 
 class Scope:

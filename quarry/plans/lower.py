@@ -81,9 +81,9 @@ def passing_rows(atom: Atom, as_of: Column | None) -> tuple[DataFrame, str, Colu
             rest = rest & c.column  # on rows of a sibling, too
         elif not c.atoms:
             rows = rows.filter(c.column)
-        elif c.test and c.test[0].owner in mine:
+        elif joinable(c) and c.test[0].owner in mine:
             rows = tested(rows, c.test[0].owner.key, c.test, as_of)
-        elif c.test and c.sources <= mine | {atom.owner}:
+        elif joinable(c) and c.sources <= mine | {atom.owner}:
             rows = tested(rows, F.col(parent), c.test, as_of)  # another collection of the same parent
         else:
             aggregated.append(c)
@@ -97,6 +97,11 @@ def passing_rows(atom: Atom, as_of: Column | None) -> tuple[DataFrame, str, Colu
     return rows, parent, rest
 
 
+def joinable(predicate: Predicate) -> bool:
+    """Whether a predicate is a test that a semi-join can make."""
+    return predicate.test is not None and not any(c.by_python for c in predicate.test[0].condition.conjuncts())
+
+
 def tested(frame: DataFrame, key: Column, test: tuple[Atom, bool], as_of: Column | None) -> DataFrame:
     """Rows of ``frame`` for whose ``key`` an atom's scope has, or has no, row that passes: a semi- or anti-join."""
     atom, wanted = test
@@ -158,7 +163,7 @@ def build(
         for c in own:
             if not c.atoms:
                 frame = frame.filter(c.column)
-        joined = [c for c in own if c.test]
+        joined = [c for c in own if joinable(c)]
         for c in joined:
             frame = tested(frame, c.test[0].owner.key, c.test, as_of)
         atoms = [a for c in conjuncts if c not in joined for a in c.atoms if home.get(a.owner) is variable]
