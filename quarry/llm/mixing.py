@@ -4,8 +4,8 @@ Targets share a budget of words by weight.  A source's target stops at
 ``max_epochs`` times its size; the excess is shared by weight among the others,
 again and again, until none is above its cap.  A source's documents are then all
 taken a whole number of times, and a seeded part of them once more: in the order
-of a seeded hash, documents are taken until the next would exceed the target, then
-the next that still fit the rest, and so on.
+of a seeded hash, whole buckets of documents up to the bucket in which the target is
+met, and of that bucket each document that still fits what is left.
 
 Sources may be any number; their table is never collected.
 """
@@ -21,10 +21,8 @@ from quarry.llm.ranges import range_of, splitters, weighted_sample
 from quarry.llm.storage import materialize, small, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of one source and hash bucket that a single task orders, about.
-BUCKET_ROWS = 2_000
-#: Rounds in which the last bucket's documents fill up a source's target; each leaves a smaller rest.
-MAX_ROUNDS = 6
+#: Documents of one source and hash bucket, about; the bucket in which a target is met is filled by one task.
+BUCKET_ROWS = 1_000
 
 
 def n_words(text: Column) -> Column:
@@ -67,11 +65,10 @@ def water_filled(sources: DataFrame, weights: Sequence[int], max_epochs: int) ->
 def mixing_plan(
     sized: DataFrame, *, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 20
 ) -> DataFrame:
-    """A row per source: (source, source_size, target, whole, below, steps).
+    """A row per source: (source, source_size, target, whole, below, last, picks).
 
     A document is taken ``whole`` times, and once more if its dice() is less than
-    ``below`` or within one of ``steps`` (after, until, most) and its size is at most
-    that step's.
+    ``below``, or up to ``last`` and one of ``picks``.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = water_filled(sources, weights, max_epochs)
@@ -101,29 +98,26 @@ def mixing_plan(
         small(at, n_sources), F.col("source").eqNullSafe(F.col("of")) & (F.col("b") == F.col("bucket"))
     )
     edge = materialize(edge.filter("size > 0").groupBy("of", "u").agg(F.sum("size").alias("size")), "edge")
-    state = at.select("of", (F.col("below") - 1).alias("after"), "room")
-    rounds = []
-    for _ in range(MAX_ROUNDS):
-        # From where the last round stopped, the next documents until one no longer fits.
-        state = state.select(F.col("of").alias("src"), "after", "room")
-        fits = (F.col("u") > F.col("after")) & (F.col("size") <= F.col("room"))
-        near = edge.join(small(state, n_sources), F.col("of").eqNullSafe(F.col("src"))).filter(fits)
-        upto = F.sum("size").over(Window.partitionBy("of", "after", "room").orderBy("u"))
-        took = near.withColumn("upto", upto).filter("upto <= room").groupBy("of", "after", "room")
-        step = materialize(took.agg(F.max("u").alias("until"), F.max("upto").alias("used")), "step")
-        if step.isEmpty():
-            break
-        rounds.append(step.select("of", F.struct("after", "until", F.col("room").alias("most")).alias("step")))
-        state = step.select("of", F.col("until").alias("after"), (F.col("room") - F.col("used")).alias("room"))
-    found = at.select("of", "below", F.lit(None).cast("struct<after:bigint,until:bigint,most:double>").alias("step"))
-    for step in rounds:
-        found = found.unionByName(step.withColumn("below", F.lit(None).cast("long")))
-    found = found.groupBy("of").agg(F.max("below").alias("below"), F.collect_list("step").alias("steps"))
+    # A bucket's documents are some thousands at most: they are gone through in one array.
+    listed = F.sort_array(F.collect_list(F.struct("u", "size")))
+    edge = edge.groupBy("of").agg(listed.alias("listed")).withColumnRenamed("of", "src")
+    start = F.struct(F.col("room").cast("double").alias("room"), F.array().cast("array<bigint>").alias("picks"))
+
+    def fill(held: Column, document: Column) -> Column:
+        fits = document["size"] <= held["room"]
+        return F.struct(
+            (held["room"] - F.when(fits, document["size"]).otherwise(0)).cast("double").alias("room"),
+            F.when(fits, F.concat(held["picks"], F.array(document["u"]))).otherwise(held["picks"]).alias("picks"),
+        )
+
+    found = at.join(edge, F.col("of").eqNullSafe(F.col("src")))
+    found = found.select("of", "below", F.aggregate("listed", start, fill).getField("picks").alias("picks"))
+    found = materialize(found.withColumn("last", F.array_max("picks")), "found")
     joined = sources.join(small(found, n_sources), F.col("source").eqNullSafe(F.col("of")), "left")
     every = F.when(F.col("rest") <= 0, F.lit(0)).otherwise(F.lit(1 << 62))
     return materialize(
         joined.select(
-            "source", "source_size", "target", F.col("whole").cast("int"), F.coalesce("below", every).alias("below"), "steps"
+            "source", "source_size", "target", F.col("whole").cast("int"), F.coalesce("below", every).alias("below"), "last", "picks"
         ),
         "plan",
     )
@@ -136,10 +130,11 @@ def dice(doc_id: Column, seed: int) -> Column:
 
 def repetitions(sized: DataFrame, plan: DataFrame, seed: int, max_epochs: int) -> DataFrame:
     """``sized`` joined to its source's plan, with ``repeats``."""
-    plan = plan.select(F.col("source").alias("_q_of"), "source_size", "target", "whole", "below", "steps")
+    plan = plan.select(F.col("source").alias("_q_of"), "source_size", "target", "whole", "below", "last", "picks")
     joined = sized.join(small(plan, plan.count()), F.col("source").eqNullSafe(F.col("_q_of")))
     u = dice(F.col("doc_id"), seed)
-    within = F.exists("steps", lambda s: (u > s["after"]) & (u <= s["until"]) & (F.col("size") <= s["most"]))
+    # The array is looked at for documents of the last bucket only.
+    within = F.when((u >= F.col("below")) & (u <= F.col("last")), F.array_contains("picks", u))
     once_more = ((u < F.col("below")) | F.coalesce(within, F.lit(False))).cast("int")
     return joined.withColumn("repeats", F.least(F.col("whole") + once_more, F.lit(max_epochs)))
 
@@ -159,8 +154,8 @@ def mix(
     ``size`` is the number of words, 0 for null and blank texts; such documents
     are taken like the others and add nothing.  Sources by code point, null
     last, weigh ``weights`` in turn; a null source is a source of its own.
-    Taken words stay below a source's target by less than one of the documents
-    that come last in its order, mostly by a few words.  A source without words
+    Taken words stay below a source's target by less than the smallest document of
+    its last bucket that was left out, mostly by a few words.  A source without words
     has target 0.  Rows of equal id share their dice and count together.  An empty table gives no rows.
     """
     sized = materialize(

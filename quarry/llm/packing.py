@@ -11,7 +11,8 @@ from that histogram alone, for any number of documents:
 
 The plan is a list of patterns (how many sequences, which sizes).  A piece finds
 its place from its size and its rank among the pieces of that size; ranks come
-from counts by (size, salt) and a window within each (size, salt).
+from counts by (size, salt) and a window within each (size, salt), with as many salts
+as a size's pieces need.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow_map import map_batches
-from quarry.llm.storage import materialize, text_or_empty
+from quarry.llm.ranges import literals
+from quarry.llm.storage import materialize, small, text_or_empty
 from quarry.llm.tokens import pieces_for, with_end
 
-#: Parts into which the pieces of one size are dealt for ranking.
-SALTS = 64
+#: Pieces of one size that a window ranks, about: sizes with more are dealt to several.
+RANKED_ROWS = 20_000
 
 
 @dataclass
@@ -253,19 +255,21 @@ def pack(
     than ``capacity`` tokens is cut into pieces of ``capacity``, the first one
     shorter where it doesn't come out even.  Within a sequence the offsets have
     no gaps.  Sequences are numbered from 0.  Repeated rows are documents of
-    their own.  With ``special_tokens`` the string of a special token in a text is
+    their own; rows of one id and piece are ranked in any order.  Very long texts
+    are encoded whole.  Other columns, whatever their names, are not read.  With ``special_tokens`` the string of a special token in a text is
     that token, otherwise ordinary text.  An empty table gives no rows.
     """
     pieces = materialize(tokenised_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids, special_tokens), "pieces")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    totals = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # one row for each size
+    table = places(plan(totals, capacity))
+    salts = literals([1 + totals.get(size, 0) // RANKED_ROWS for size in range(capacity + 1)])
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, "length")))
     by_salt = materialize(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "counts")
-    totals = by_salt.groupBy("length").agg(F.sum("n")).collect()  # one row for each size
-    table = places(plan({r[0]: r[1] for r in totals}, capacity))
+    n_salts = sum(1 + n // RANKED_ROWS for n in totals.values())
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = by_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
-    # capacity * SALTS rows at most
-    ranked = pieces.withColumn("nth", nth).join(F.broadcast(first), ["length", "salt"])
+    ranked = pieces.withColumn("nth", nth).join(small(first, n_salts), ["length", "salt"])
     columns = [c for c in pieces.columns if c != "salt"]
     ranked = ranked.select(*columns, (F.col("first") + F.col("nth") - 1).alias("rank"))
     keys = table[:, 0] << 48 | table[:, 1]

@@ -1,13 +1,27 @@
-"""Splitters from weighted samples, and range numbers by binary search."""
+"""Splitters from weighted samples, and range numbers by binary search.
+
+Ranges are at most MOST_RANGES, so samples on the driver and bounds in plans stay
+within some MB; beyond that ranges get larger instead.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_RANGES = 16_384
+KINDS = {int: "array<bigint>", float: "array<double>", str: "array<string>"}
+
+
+def literals(values: Sequence) -> Column:
+    """A constant array of one literal, however many numbers or strings it holds."""
+    return F.from_json(F.lit(json.dumps(list(values))), KINDS[type(values[0])])
+
+
 def weighted_sample(df: DataFrame, keys: Sequence[str], weight: str, size: int, seed: int = 7) -> list[tuple]:
     """About ``size`` rows' keys with their weights, sampled in proportion to weight.
 
@@ -46,7 +60,7 @@ def range_of(keys: Sequence[Column], bounds: list[tuple]) -> Column:
     """
     if not bounds:
         return F.lit(0)
-    columns = [F.array(*[F.lit(b[k]) for b in bounds]) for k in range(len(keys))]
+    columns = [literals([b[k] for b in bounds]) for k in range(len(keys))]
 
     def reaches(at: Column) -> Column:
         out = F.lit(True)

@@ -21,11 +21,13 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.ranges import range_of, splitters, weighted_sample
+from quarry.llm.ranges import MOST_RANGES, range_of, splitters, weighted_sample
 from quarry.llm.storage import materialize, text_or_empty
 
 #: A group of equal texts is placed whole up to this part of a shard's share; a larger one is divided by rows.
 WHOLE_GROUP = 0.25
+#: Rows of a range, about, which one task orders.
+RANGE_ROWS = 500_000
 LOWEST = -(1 << 63)
 
 
@@ -79,6 +81,8 @@ def shard_by_bytes(
     group is divided row by row.  Shards then differ by about ``heavy`` of their
     share, or by one row where single rows outweigh that.  Repeated rows get slots of
     their own.  A null id is an id like any other.  An empty table gives no rows.
+    Very long texts are rows like others; other columns, whatever their names, are
+    not read.  There are ``ranges`` of the key space or more, by the rows.
     """
     text = text_or_empty(text_col)
     base = materialize(
@@ -90,9 +94,10 @@ def shard_by_bytes(
         ).withColumn("d", F.xxhash64("doc_id", F.lit(1))),
         "sized",
     )
-    total = base.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     share = max(1.0, total / shards)
-    placed = balanced_ranges(base, total, ranges, sample)
+    ranges = min(max(ranges, n_rows // RANGE_ROWS), MOST_RANGES)
+    placed = balanced_ranges(base, total, ranges, max(sample, 32 * ranges))
 
     # Units above heavy * share: shards / heavy at most, so they fit the driver and a broadcast.
     groups = base.groupBy("h").agg(F.sum("size").alias("held")).filter(F.col("held") > heavy * share).collect()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow_map import slices
-from quarry.llm.ranges import range_of, splitters, weighted_sample
+from quarry.llm.ranges import MOST_RANGES, range_of, splitters, weighted_sample
 from quarry.llm.shingles import mixed, word_hashes
 from quarry.llm.storage import text_or_empty
 
@@ -111,23 +111,17 @@ def with_followers(docs: DataFrame, id_col: str, text_col: str, part_bytes: int)
     base = base.withColumn("place", F.coalesce("doc_id", F.lit(LOWEST)))
     sized = base.select("place", (F.octet_length("text") + 1).alias("size"))
     total = sized.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
+    parts = min(max(1, -(-total // part_bytes)), MOST_RANGES)
     bounds = splitters(weighted_sample(sized, ["place"], "size", 32 * parts), parts)
     placed = base.withColumn("part", range_of([F.col("place")], bounds))
-    # A few values for each range, whatever the number of documents.
-    tops = {r[0]: r[1] for r in placed.groupBy("part").agg(F.max("place")).collect()}
-    order = sorted(tops)
-    lender = {p: order[i - 1] for i, p in enumerate(order)}  # the lowest range borrows from the highest
-    lent = placed.filter(F.col("place").isin(list(tops.values()))).groupBy("part", "place").agg(F.min("text").alias("text"))
-    borrower = F.create_map(*[F.lit(v) for lends, p in ((lender[p], p) for p in order) for v in (lends, p)]) if order else None
-    rows = placed.withColumn("borrowed", F.lit(0))
-    if order:
-        tops_of = F.create_map(*[F.lit(v) for item in tops.items() for v in item])
-        lent = lent.filter(F.col("place") == tops_of[F.col("part")])
-        extra = lent.select(
-            F.lit(None).cast("long").alias("doc_id"), "text", "place", borrower[F.col("part")].alias("part"), F.lit(1).alias("borrowed")
-        )
-        rows = rows.unionByName(extra)
+    # A row for each range: MOST_RANGES at most.
+    tops = sorted((r[0], r[1]) for r in placed.groupBy("part").agg(F.max("place")).collect())
+    # A range lends its first row to the next higher one, the highest to the lowest.
+    borrowers = [(*top, tops[(i + 1) % len(tops)][0]) for i, top in enumerate(tops)]
+    lenders = F.broadcast(docs.sparkSession.createDataFrame(borrowers, "part int, place long, borrower int"))
+    lent = placed.join(lenders, ["part", "place"]).groupBy("borrower", "place").agg(F.min("text").alias("text"))
+    extra = lent.select(F.lit(None).cast("long").alias("doc_id"), "text", "place", F.col("borrower").alias("part"), F.lit(1).alias("borrowed"))
+    rows = placed.withColumn("borrowed", F.lit(0)).unionByName(extra)
     dealt = rows.repartitionById(len(bounds) + 1, "part")
     return dealt.sortWithinPartitions("part", "borrowed", F.desc("place"), "text").select("doc_id", "text", "part", "borrowed")
 

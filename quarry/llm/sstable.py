@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.arrow_map import slices
-from quarry.llm.ranges import range_of, splitters, weighted_sample
+from quarry.llm.ranges import MOST_RANGES, range_of, splitters, weighted_sample
 from quarry.llm.storage import scratch, text_or_empty
 from quarry.llm.tokens import pieces_for, with_end
 
@@ -198,8 +198,8 @@ def write_tokens(
     """Write all documents as shards below ``folder`` (a URI) and return the manifest.
 
     ``tokenizer`` is the content of a tokenizers JSON file.  Shards cover ranges
-    of ids from weighted samples, so each holds about ``shard_bytes`` of text; one
-    id's rows stay in one shard.  Null ids come first; null and empty texts are
+    of ids from weighted samples, so each holds about ``shard_bytes`` of text, or more
+    where that would be over MOST_RANGES shards; one id's rows stay in one shard.  Null ids come first; null and empty texts are
     ``end_id`` alone; repeated rows are entries of their own.  With ``special_tokens``
     the string of a special token in a text is that token, otherwise ordinary
     text.  An empty table gives an empty manifest.
@@ -210,6 +210,7 @@ def write_tokens(
     sized = base.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"), (F.octet_length("text") + 1).alias("size"))
     total = sized.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-total // shard_bytes), min(spark.sparkContext.defaultParallelism, total // (1 << 20)))
+    parts = min(parts, MOST_RANGES)
     bounds = splitters(weighted_sample(sized, ["place"], "size", 32 * parts), parts)
     placed = base.withColumn("part", range_of([F.coalesce("doc_id", F.lit(-(1 << 63)))], bounds))
     ordered = placed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "text")

@@ -3,7 +3,8 @@
 Every intermediate table goes to the folder named by ``spark.checkpoint.dir``,
 which driver and executors share, so a lost executor costs a re-read and not a
 recomputation.  Only a session without that setting (a unit test) gets a
-temporary folder of its own.
+temporary folder of its own.  Working tables stay until the session ends, or
+remove_working_tables() is called when all results are written.
 """
 
 from __future__ import annotations
@@ -49,6 +50,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove_working_tables() -> None:
+    """Delete all working tables; results that were not written yet can't be read any more."""
+    while _made:
+        spark, path = _made.pop()
+        remove(spark, path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
