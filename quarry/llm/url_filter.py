@@ -165,21 +165,21 @@ def lexical(url: str, host: str, path: str, suffix_rates: dict[str, float], odds
     ]
 
 
-def examples() -> list[str]:
-    """The fixed labelled URLs; their labels follow from their hosts, as those of the table do.
+def examples(seed: int = 5, domains: Sequence[str] = DOMAINS, names: int = 2000) -> list[str]:
+    """Generated labelled URLs; their labels follow from their hosts, as those of the table do.
 
     Names of both classes get schemes, hyphens, prefixes, domains and paths by the same dice.
     """
-    r = random.Random(5)
+    r = random.Random(seed)
     out = []
     for words in (UNWANTED, PLAIN):
-        for _ in range(2000):
+        for _ in range(names):
             pair = [r.choice(words), r.choice([*words, *COMPANIONS])]
             r.shuffle(pair)
             name = r.choice(("", "-")).join(pair[: r.choice((1, 2, 2, 2))] if pair[0] in words else pair)
             scheme, prefix = r.choice(("http", "https")), r.choice(("", "", "www.", "blog.", "m."))
             path = r.choice(("", "en/", "de/", "2024/")) + r.choice(("", "index", "item-4", "7", "a.html", "a?x=1&y=2"))
-            out.append(f"{scheme}://{prefix}{name}.{r.choice(('', 'example.'))}{r.choice(DOMAINS)}/{path}")
+            out.append(f"{scheme}://{prefix}{name}.{r.choice(domains)}/{path}")
     return out
 
 
@@ -197,7 +197,8 @@ def judge_urls(
     ``rule`` is the longest rule that fits, or null; ``verdict`` is that rule's, or
     else ``block`` where the trees' ``score`` is ``threshold`` or more.  Null URLs
     and such without ``://`` have an empty host and path, fit no rule, and are
-    scored like others.  Repeated rows are judged alike.  An empty table gives no rows.
+    scored like others.  Very long URLs are read whole.  Repeated rows are judged
+    alike.  An empty table gives no rows.  Other columns, whatever their names, are not read.
     """
     parsed = sorted(map(rule, rules), key=lambda r: (-len(r.text), r.text))
     host, path = host_and_path(F.col(url_col))

@@ -275,3 +275,26 @@ def test_url_verdicts_do_not_come_down_to_a_hyphen(spark):
     for label in (True, False):
         shapes = {(u.split(":")[0], "-" in u.split("/")[2]) for u in examples() if unwanted(u.split("/")[2]) == label}
         assert len(shapes) == 4
+
+
+def test_url_trees_on_held_out_names(spark):
+    """Other names, domains and paths than those learned from: what share of the unwanted is blocked, and of the blocked is unwanted."""
+    urls = sorted(set(examples(seed=77, domains=("shop.test", "eu", "co.uk", "site.app"), names=300)))
+    long = "http://" + "a" * 300 + ".test/" + "p/" * 30_000 + "?" + "&".join(f"k{i}=1" for i in range(5000))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, urls[0], long])], "page_id long, url string")
+    got = {r.page_id: r for r in judge_urls(pages.repartition(3), URL_RULES).collect()}
+    truth = [unwanted(u.split("/")[2]) for u in urls]
+    blocked = [got[i].verdict == "block" for i in range(len(urls))]
+    hits = sum(t and b for t, b in zip(truth, blocked, strict=True))
+    assert hits / sum(truth) >= 0.9 and hits / sum(blocked) >= 0.9, (hits, sum(truth), sum(blocked))
+    assert got[len(urls)].verdict == got[0].verdict and got[len(urls) + 1].path == "/" + "p/" * 30_000
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    """Rows of one id stand in the order of their texts, whatever the partitions."""
+    texts = ["b two three four", "a one two three", "c", "a one two three"]
+    docs = spark.createDataFrame([(1, t, 9) for t in texts], "doc_id long, text string, part int")
+    one, two = (sorted(map(tuple, fingerprints(docs.repartition(n)).collect())) for n in (1, 3))
+    order = sorted(texts)
+    want = sorted(hashlib.sha256(edited(t, order[(i + 1) % 4]).encode()).hexdigest() for i, t in enumerate(order))
+    assert one == two and sorted(r[2] for r in one) == want
