@@ -48,3 +48,31 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(copies)
     assert sum(r.piece == 0 for r in packed) == sum(copies.values())
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) and all(zlib.crc32(b"") <= r.ids_crc32 for r in packed)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    docs, labels = labelled(spark, 4)
+    docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_of_rows_without_ids_and_with_clashing_columns(spark, tmp_path):
+    """Rows without ids, or that share one, are documents of their own; columns of any name pass through."""
+    texts = [prose(700 + i, 60) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0] + " "), (5, texts[2]), (5, texts[3]), (6, None), (7, near_copy(texts[4], 1, 1)), (8, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' AS lang", "CAST(NULL AS STRING) AS source", "0L AS n_chars", "1 AS part", "'x' AS nth", "2 AS h", "true AS kept", "0.5D AS size", "3 AS rep"
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    _, labels = labelled(spark, 4)
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == docs.columns, name
+    got = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "").strip()) for r in left.collect())
+    # Of the equal texts without an id the longer stays; of the near copies, the smaller id.
+    want = [(True, 0, texts[0]), (True, 0, texts[1]), (False, 5, texts[2]), (False, 5, texts[3]), (False, 6, ""), (False, 7, near_copy(texts[4], 1, 1))]
+    assert got == sorted(want)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 5, 6, 7}
