@@ -157,6 +157,7 @@ def mix(
     Taken words stay below a source's target by less than the smallest document of
     its last bucket that was left out, mostly by a few words.  A source without words
     has target 0.  Rows of equal id share their dice and count together.  An empty table gives no rows.
+    Very long texts are counted whole; other columns, whatever their names, are not read.
     """
     sized = materialize(
         docs.select(
@@ -182,7 +183,11 @@ def mixed_documents(
     max_epochs: int = 3,
     seed: int = 20,
 ) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; see mix()."""
+    """``docs`` with each row as often as the mix takes it, all columns kept, whatever their names.
+
+    See mix() for what it takes: null text has no words, null sources are one source,
+    rows of equal id are taken alike.  An empty table gives no rows.
+    """
     names = docs.columns
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),

@@ -299,6 +299,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and blank texts have no shingles and are linked with nothing.  Rows with one
     id are taken for one document.  A row without an id has the component of
     its class, null if it is alone, and isn't kept.  An empty table gives no rows.
+    Very long texts are compared whole.  Other columns, whatever their names, are not read.
     """
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
     with_id = signed.filter("digest is not null and doc_id is not null")
@@ -380,7 +381,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one document of each near-duplicate group, all columns kept.
 
     Rows of one id with different texts, and rows without an id, are documents of
-    their own; rows of equal id and text are one.
+    their own; rows of equal id and text are one.  Of a group the smallest id stays,
+    null after all others; of one id's texts the first by digest.  Null, empty and
+    blank texts are in no group and stay.  An empty table gives no rows.  Columns of any name pass.
     """
 
     def lost(rows: DataFrame, ids: str, texts: str) -> DataFrame:

@@ -295,7 +295,10 @@ def pack(
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """(sequence_id, ids): the packed sequences themselves, ``capacity`` ids at most each."""
+    """(sequence_id, ids): the packed sequences themselves, ``capacity`` ids at most each.
+
+    Rows, nulls and repeats count as in pack(); an empty table gives no sequences.
+    """
     placed = pack(docs, tokenizer, with_ids=True, **options)
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     return placed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))

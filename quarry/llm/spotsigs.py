@@ -136,7 +136,8 @@ def fingerprints(
     count as the smallest, rows of one id stand in the order of their texts, and
     the last row's next is the first (in a table of one row, itself).  The edited
     text is edited(text, next text).  Null counts as empty; a text without words
-    has the empty fingerprint.  An empty table gives no rows.
+    has the empty fingerprint.  An empty table gives no rows.  Very long texts are
+    read whole; other columns, whatever their names, are not read.
     """
     rows = with_followers(docs, id_col, text_col, part_bytes)
     names = [c.split()[0] for c in SCHEMA.split(", ")]

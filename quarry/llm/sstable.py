@@ -202,7 +202,8 @@ def write_tokens(
     where that would be over MOST_RANGES shards; one id's rows stay in one shard.  Null ids come first; null and empty texts are
     ``end_id`` alone; repeated rows are entries of their own.  With ``special_tokens``
     the string of a special token in a text is that token, otherwise ordinary
-    text.  An empty table gives an empty manifest.
+    text.  An empty table gives an empty manifest.  Very long texts are encoded whole;
+    other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)

@@ -258,6 +258,7 @@ def score_toxicity(
     mod 3 = 1 are held out: their labels are never read.  A score depends on the
     text alone, so equal texts score alike; null counts as empty.  Without usable
     labels every score is 0.5.  A null id isn't held out.  An empty table gives no rows.
+    Very long texts are scored whole; other columns, whatever their names, are not read.
     """
     model = train_model(docs, labels, id_col, text_col, label_col, rows=rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -292,7 +293,13 @@ def drop_toxic(
     threshold: float = 0.7,
     rows: int = TRAINING_ROWS,
 ) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more; all columns kept, nothing shuffled."""
+    """``docs`` without those that score ``threshold`` or more; all columns kept, nothing shuffled.
+
+    A row is judged by its text alone, as in score_toxicity(): null counts as
+    empty, ids and repeated rows change nothing, and without usable labels all
+    rows stay.  Very long texts are scored whole.  An empty table gives no rows.
+    Columns of any name pass.
+    """
     model = train_model(docs, labels, id_col, text_col, label_col, rows=rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
