@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.results import Output, ResultSet
 from quarry.plans.expr import Predicate, Variable
 
 
@@ -99,6 +100,11 @@ class FederatedSearch:
             frames[name] = s.results(sid=v.sid, **{k: f(v) for k, f in outputs.items()}).to_frame()
         return source_major(frames, "sid", limit, offset)
 
+    def results(self, **outputs: Callable[[Variable], Any]) -> ResultSet:
+        """The sources' rows as one result set, source-major: iterable, sliceable, with first(), one() and scalars()."""
+        frame = self.frame(**outputs)
+        return ResultSet(frame, [Output(k, F.col(k)) for k in ("origin", *outputs)], [], [F.col("_source"), F.col("sid")])
+
     def count(self) -> int:
         """Sum of the sources' counts; taken once."""
         if self._count is None:

@@ -26,12 +26,13 @@ class Encoder:
 
     A row's identity is the hash of the canonical texts of its identity cells, with
     references by their identities; records of policy ``none`` get a unique one.
-    ``before`` has the number of rows by class that earlier encoders made.
+    ``before`` has the number of rows by class that earlier encoders made; records of
+    ``promote`` count as roots wherever they stand.
     """
 
-    def __init__(self, before: dict[type, int] | None = None) -> None:
+    def __init__(self, before: dict[type, int] | None = None, promote: tuple[type, ...] = ()) -> None:
         self.rows: dict[type, dict[str, dict[str, Any]]] = {}
-        self.before = before or {}
+        self.before, self.promote = before or {}, promote
         self.conflicts: list[tuple[str, str]] = []
         self._seen: dict[int, tuple[str, Any]] = {}
         self._open: set[int] = set()
@@ -97,7 +98,7 @@ class Encoder:
     def _reference(self, f: FieldSpec, value: Any) -> str:
         if not isinstance(value, f.kind):
             raise TypeError(f"{f.name} expects {f.kind.__name__}")
-        return self.add(value, 0)
+        return self.add(value, 1 if isinstance(value, self.promote) else 0)
 
 
 def decode(schema: RecordSchema, row: dict[str, Any], fetch: Callable[[type, int], Any]) -> Any:

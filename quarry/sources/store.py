@@ -7,6 +7,7 @@ newest complete manifest, so a commit is visible whole or not at all.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import time
@@ -14,6 +15,7 @@ import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,6 +196,22 @@ class RecordStore:
             raise KeyError(content_id)
         return self.fetch(cls, rows[0].sid)
 
+    def dispatch(self, family: Sequence[type]) -> DataFrame:
+        """(content_id, backing, sid) of the records of a family: classes that back entries of one kind."""
+        parts = [self.table(cls).select(F.col("identity").alias("content_id"), F.lit(resolve(cls).name).alias("backing"), "sid") for cls in family]
+        if wrong := [cls.__name__ for cls in family if resolve(cls).dedup != "content_id"]:
+            raise ValueError(f"no content ids: {wrong}")
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def fetch_entry(self, family: Sequence[type], content_id: str) -> Any:
+        """The record of a family under a content id; more than one is an IntegrityError."""
+        rows = self.dispatch(family).filter(F.col("content_id") == content_id).take(2)
+        if not rows:
+            raise KeyError(content_id)
+        if len(rows) > 1:
+            raise IntegrityError(f"{content_id} has several records: {[(r.backing, r.sid) for r in rows]}")
+        return self.fetch(next(cls for cls in family if resolve(cls).name == rows[0].backing), rows[0].sid)
+
     def content_id(self, obj: Any) -> str:
         return Encoder().add(obj)
 
@@ -209,8 +227,8 @@ class RecordStore:
 
     # -- writing ----------------------------------------------------------
 
-    def save(self, obj: Any) -> int:
-        return self.bulk_ingest([obj])[0]
+    def save(self, obj: Any, *, promote: tuple[type, ...] = ()) -> int:
+        return self.bulk_ingest([obj], promote=promote)[0]
 
     def bulk_ingest(
         self,
@@ -220,12 +238,14 @@ class RecordStore:
         chunk_size: int = 100_000,
         track_sids: bool = True,
         progress: Callable[[int], None] | None = None,
+        promote: tuple[type, ...] = (),
     ) -> list[int]:
         """Save objects with all that they refer to; keys in their order.  All or nothing is committed.
 
         The driver holds ``chunk_size`` objects' graphs at a time; earlier ones are
         staged in the store's folder.  Without ``track_sids`` no keys are returned.
-        ``progress`` gets the number of objects so far after each chunk.
+        ``progress`` gets the number of objects so far after each chunk.  Nested
+        records of the classes ``promote`` are saved as roots.
         """
         work = f"work/{uuid.uuid4().hex}"
         counts: dict[type, int] = {}
@@ -234,7 +254,7 @@ class RecordStore:
         objects, done = iter(objects), 0
         try:
             while chunk := list(itertools.islice(objects, chunk_size)):
-                encoder = Encoder(counts)
+                encoder = Encoder(counts, tuple(promote))
                 own = [(type(obj), encoder.add(obj)) for obj in chunk]
                 if encoder.conflicts and verify_metadata:
                     raise MetadataConflict(str(encoder.conflicts[:5]))
@@ -272,6 +292,11 @@ class RecordStore:
         stage = self._identified(schema, typed).withColumn("role", F.lit(1)).withColumn("ordinal", F.xxhash64("identity"))
         return self._ingest({cls: stage}, verify_metadata, resolved=True)[cls]
 
+    def ingest_arrow(self, cls: type, data: pa.Table | pa.RecordBatchReader, *, verify_metadata: bool = True) -> DataFrame:
+        """As ingest_frame(), from Arrow data on the driver."""
+        table = data if isinstance(data, pa.Table) else data.read_all()
+        return self.ingest_frame(cls, self.spark.createDataFrame(table), verify_metadata=verify_metadata)
+
     def _identified(self, schema: RecordSchema, rows: DataFrame) -> DataFrame:
         """``rows``, whose references are keys, with the identity that the same objects would get."""
         if schema.dedup == "none":

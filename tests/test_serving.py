@@ -8,7 +8,9 @@ import pytest
 from quarry.operators import dataflow
 from quarry.operators.entries import DuplicateEntryId, EntryFederation, EntrySource, StoredProperty
 from quarry.operators.filters import FilterError, Translator, filter_predicate
+from quarry.operators.searcher import Searcher
 from quarry.sources.files import read_text
+from quarry.sources.jdbc import jdbc_relation
 from quarry.sources.providers import (
     FrameEntryProvider,
     StoreEntryProvider,
@@ -173,3 +175,23 @@ def test_set_wise_steps(spark):
     links = spark.createDataFrame([("p", "x", "1"), ("p", "y", "2"), ("q", "x", "1"), ("q", "x", "2")], "s string, l string, t string")
     got = {r.s: (r.targets, r.repeated) for r in product_relationships(links, "s", "l", "t").collect()}
     assert got == {"p": ({"x": "1", "y": "2"}, []), "q": ({"x": "1"}, ["x"])}
+
+
+def test_relations_over_a_database(spark):
+    """Apache Derby comes with Spark; in local mode its memory databases are seen by all tasks."""
+    url = "jdbc:derby:memory:quarry;create=true"
+    jvm = spark.sparkContext._jvm
+    connection = jvm.java.sql.DriverManager.getConnection(url)
+    run = connection.createStatement().executeUpdate
+    run("CREATE TABLE SHIPS (ID BIGINT, NAME VARCHAR(20), BUILT INT)")
+    for i in range(20):
+        run(f"INSERT INTO SHIPS VALUES ({i}, 's{i}', {1900 + i})")
+    connection.close()
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    relation = jdbc_relation("ships", spark, url, "SHIPS", "ID", split_by="ID", options=options)
+    s = Searcher()
+    v = s.variable(relation)
+    s.add(v.BUILT > 1915)
+    found = s.results(name=v.NAME, built=v.BUILT)
+    assert set(found.scalars("name")) == {"s16", "s17", "s18", "s19"}
+    assert "PushedFilters: [*IsNotNull(BUILT), *GreaterThan(BUILT,1915)]" in found.to_frame()._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from quarry.operators.federation import FederatedSearch, SourceError
 from quarry.operators.filters import FilterError, filter_predicate, parse
 from quarry.operators.paging import PageOrder, PageTokenError
 from quarry.plans.expr import constant, scaled_exactly_equal, when_known
-from quarry.sources.store import LayoutError, MetadataConflict, RecordStore, ReplacementError
+from quarry.sources.store import IntegrityError, LayoutError, MetadataConflict, RecordStore, ReplacementError
 from quarry.sources.canonical import canonical_column, canonical_text
 from tests.records import (
     AURORA,
@@ -348,6 +349,23 @@ def test_roles_are_promoted(spark, tmp_path):
     assert sorted((r.name, r.role) for r in s.table(Ship).collect()) == [("Aurora", 1), ("Boreas", 1)]
 
 
+def test_promoted_records_families_and_arrow(spark, tmp_path):
+    s = RecordStore(spark, f"file://{tmp_path}")
+    s.save(VOYAGES[0], promote=(Ship,))
+    assert [r.role for r in s.table(Ship).collect()] == [1]
+    s.ingest_arrow(Ship, pa.table({"name": ["Aurora", "Dione"], "built": [1911, 2001]}))
+    assert s.table(Ship).count() == 2
+    s.save(REMARKS[0])
+    family = (Ship, Remark)
+    assert s.dispatch(family).count() == 3 and s.fetch_entry(family, s.content_id(AURORA)) == AURORA and s.fetch_entry(family, s.content_id(REMARKS[0])) == REMARKS[0]
+    with pytest.raises(KeyError):
+        s.fetch_entry(family, "none")
+    with pytest.raises(ValueError):
+        s.dispatch((Signal,))
+    with pytest.raises(IntegrityError):
+        s.fetch_entry((Ship, Ship), s.content_id(AURORA))
+
+
 def test_garbage_is_collected(spark, tmp_path):
     s = RecordStore(spark, f"file://{tmp_path}")
     old, new = Cargo([Crate(Fraction(1), "a"), Crate(Fraction(2), "b")], "x"), Cargo([Crate(Fraction(2), "b")], "y")
@@ -438,6 +456,8 @@ def test_federation(spark, tmp_path, store):
     rows = both.frame(code=lambda v: v.code).collect()
     assert both.count() == 4 and [r.origin for r in both.frame(limit=4, code=lambda v: v.code).collect()] == ["a", "a", "a", "b"]
     assert {(r.origin, r.code) for r in rows} == {("a", "V-11"), ("a", "V-12"), ("a", "V-21"), ("b", "V-11")}
+    found = both.results(code=lambda v: v.code, days=lambda v: v.days)
+    assert [tuple(r) for r in found[2:4]] == [("a", "V-21", 30), ("b", "V-11", 12)] and found.first().code == "V-11" and len(found) == 4
     with pytest.raises(SourceError):
         FederatedSearch({"a": store}, Voyage).add(lambda v: v.missing == 1).count()
 
