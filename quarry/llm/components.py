@@ -5,9 +5,9 @@ neighbours, then its smaller ones, to the smallest node around it, until the
 links are stars.  Each round is written to the shared folder, so lineage stays
 short and a lost executor repeats one round at most.  Nothing is collected.
 
-The smallest node of a component has links to all others.  Nodes of so many links
-are bounded in number, so their rows meet their minimum by a broadcast, and no
-task gets a whole component.
+The smallest node of a component has links to all others.  While all nodes fit a
+broadcast, links meet their minimum by it; beyond that nodes of so many links do,
+which are bounded in number.  So no task gets a whole component.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import materialize
+from quarry.llm.storage import BROADCAST_BYTES, ROW_BYTES, materialize
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -30,6 +30,8 @@ def star(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
     """One step on ``n_edges`` links (a, b), a > b."""
     around = both_ways(edges) if large else edges
     least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    if 2 * n_edges * (ROW_BYTES + 16) <= BROADCAST_BYTES:  # as many nodes at most
+        return star_of(around.join(F.broadcast(least.drop("n")), "a"), least, large)
     least = materialize(least, "least")
     # 2 * n_edges links at most, so fewer than MOST_HUBS nodes have more links than this.
     limit = max(HUB_LINKS, 2 * n_edges // MOST_HUBS)
@@ -39,6 +41,11 @@ def star(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
         joined = around.join(light, "a")
     else:
         joined = around.join(hubs, "a").unionByName(around.join(hubs, "a", "left_anti").join(light, "a"))
+    return star_of(joined, least, large)
+
+
+def star_of(joined: DataFrame, least: DataFrame, large: bool) -> DataFrame:
+    """The links of a step from links with their first node's least neighbour ``m``."""
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

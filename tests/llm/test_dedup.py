@@ -172,9 +172,11 @@ def test_joining_links_join_what_is_similar():
     assert label == want and len(found) == 15 - len(set(want.values()))
 
 
-def test_hubs_of_components_meet_by_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("room", [0, 1 << 20])
+def test_hubs_of_components_meet_by_broadcast(spark, monkeypatch, room):
     from quarry.llm import components as module
 
+    monkeypatch.setattr(module, "BROADCAST_BYTES", room)
     monkeypatch.setattr(module, "HUB_LINKS", 3)
     links = [(i, 1000) for i in range(1, 40)] + [(i, i + 1) for i in range(50, 70)] + [(60, 1000), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
