@@ -8,16 +8,26 @@ from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows of a slice that a function sees at once are bounded by this many bytes.
 SLICE_BYTES = 8 << 20
 
+#: Rows that travel together; Spark's own default is 10,000, which for texts of some KB
+#: takes more memory of the JVM and of its workers than all that an operator keeps.
+BATCH_ROWS = 2_000
 _held: dict[Hashable, Any] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS, unless it has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def held(name: Hashable, make: Callable[[], Any]) -> Any:
     """This worker's object of a name, made once; a worker holds one at most.
 
@@ -53,6 +63,7 @@ def map_batches(
     The function takes a slice of a batch of about ``limit`` bytes and returns columns by name.
     Without ``holds`` the task first lets go of what earlier ones of its worker hold.
     """
+    bounded_batches(df.sparkSession)
     struct: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow_map import slices
+from quarry.llm.arrow_map import bounded_batches, slices
 from quarry.llm.ranges import MOST_RANGES, range_of, splitters, weighted_sample
 from quarry.llm.shingles import mixed, word_hashes
 from quarry.llm.storage import text_or_empty
@@ -169,4 +169,5 @@ def fingerprints(
                 columns = list(zip(*out, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
+    bounded_batches(docs.sparkSession)
     return rows.mapInArrow(run, SCHEMA)

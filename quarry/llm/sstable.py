@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow_map import slices
+from quarry.llm.arrow_map import bounded_batches, slices
 from quarry.llm.ranges import MOST_RANGES, range_of, splitters, weighted_sample
 from quarry.llm.storage import scratch, text_or_empty
 from quarry.llm.tokens import pieces_for, with_end
@@ -247,6 +247,7 @@ def write_tokens(
         if writer is not None:
             yield finish()
 
+    bounded_batches(spark)
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow_map import let_go, map_batches, slices
+from quarry.llm.arrow_map import bounded_batches, let_go, map_batches, slices
 from quarry.llm.boosting import Boosted, Isotonic, fit, isotonic
 from quarry.llm.storage import materialize, text_or_empty
 
@@ -313,5 +313,6 @@ def drop_toxic(
                 texts = [t or "" for t in part.column(at).cast(pa.string()).to_pylist()]
                 yield part.filter(pa.array(fitted.scores(texts, lexicon) < threshold))
 
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     return docs.mapInArrow(keep, schema)
