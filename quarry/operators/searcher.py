@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.results import Output, ResultSet
-from quarry.plans.expr import Collection, Predicate, Reference, Source, Value, Variable
+from quarry.plans.expr import Collection, Predicate, Reference, Source, Value, Variable, instant
 from quarry.plans.lower import build
 from quarry.plans.relation import Relation
 
 
-def instant(value: Any, resolution: int = 1000) -> int:
-    """A point in time in store units of ``resolution`` ns: from ns, an aware datetime or RFC 3339 text."""
-    if isinstance(value, str):
-        value = datetime.fromisoformat(value.replace("Z", "+00:00").replace("z", "+00:00"))
-    if isinstance(value, datetime):
-        if value.tzinfo is None:
-            raise ValueError("a point in time needs its offset from UTC")
-        since = value.astimezone(UTC) - datetime(1970, 1, 1, tzinfo=UTC)
-        value = ((since.days * 86_400 + since.seconds) * 1_000_000 + since.microseconds) * 1000
-    if isinstance(value, bool) or not isinstance(value, int):
-        raise TypeError("a point in time is nanoseconds, a datetime or RFC 3339 text")
-    return value // resolution
-
-
 class Searcher:
     """Collects variables, predicates, outputs and order; ``results()`` freezes them.
 
@@ -69,7 +54,7 @@ class Searcher:
             made = Output(name, what._key, None, target.hydrate, what._text, False, target.hydrate_many)
         elif isinstance(what, Value):
             self._atoms += what._atoms
-            made = Output(name, what._column, what._exact, None, what._text, not what._atoms and len(what._sources) == 1)
+            made = Output(name, what._shown, what._exact, None, what._text, not what._atoms and len(what._sources) == 1)
         elif isinstance(what, Collection):
             raise ValueError("a collection can't be an output; it comes with its record")
         else:

@@ -13,6 +13,7 @@ import itertools
 import operator
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -120,9 +121,10 @@ def constant(value: bool | None) -> Predicate:
 class Value:
     """A scalar that can be compared: a field, a constant or an aggregate of a scope."""
 
-    def __init__(self, column: Column, text: str, sources=frozenset(), atoms=(), encode=None, exact: Column | None = None):
+    def __init__(self, column: Column, text: str, sources=frozenset(), atoms=(), encode=None, exact: Column | None = None, shown: Column | None = None):
         self._column, self._text, self._sources, self._atoms = column, text, frozenset(sources), tuple(atoms)
         self._encode, self._exact = encode or (lambda v: v), exact
+        self._shown = column if shown is None else shown  # as an output
 
     def _compare(self, other: Any, op: Callable, sign: str) -> Predicate:
         if other is None:
@@ -482,4 +484,22 @@ class Variable:
         special = {"sid": relation.key, "logical_id": relation.logical, "store_timestamp": relation.timestamp, "content_id": relation.identity}.get(name)
         if special is None:
             raise AttributeError(f"{relation.name} has no field {name}")
-        return Value(source.column(special), label, {source})
+        column = source.column(special)
+        if name == "store_timestamp" and relation.resolution is not None:
+            unit = relation.resolution
+            return Value(column, label, {source}, (), lambda v: instant(v, unit), shown=column * F.lit(unit))
+        return Value(column, label, {source})
+
+
+def instant(value: Any, resolution: int = 1000) -> int:
+    """A point in time in units of ``resolution`` ns: from ns, an aware datetime or RFC 3339 text."""
+    if isinstance(value, str):
+        value = datetime.fromisoformat(value.replace("Z", "+00:00").replace("z", "+00:00"))
+    if isinstance(value, datetime):
+        if value.tzinfo is None:
+            raise ValueError("a point in time needs its offset from UTC")
+        since = value.astimezone(UTC) - datetime(1970, 1, 1, tzinfo=UTC)
+        value = ((since.days * 86_400 + since.seconds) * 1_000_000 + since.microseconds) * 1000
+    if isinstance(value, bool) or not isinstance(value, int):
+        raise TypeError("a point in time is nanoseconds, a datetime or RFC 3339 text")
+    return value // resolution

@@ -51,6 +51,7 @@ class Relation:
     opaque: frozenset[str] = frozenset()
     presence: dict[str, str] = field(default_factory=dict)
     identity: str | None = None
+    resolution: int | None = None  # nanoseconds of a timestamp unit; results show nanoseconds
     hydrate_many: Callable[[Sequence[int]], list[object]] | None = None
 
 

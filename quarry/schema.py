@@ -143,12 +143,23 @@ class RecordSchema:
 RESERVED = frozenset({"sid", "role", "store_timestamp", "logical_id", "identity"})
 
 
+_storage: dict[type, StorageInfo] = {}
+
+
+def declare_storage(cls: type, info: StorageInfo) -> None:
+    """Give a class that can't declare ``__storage__`` itself its storage; a class has one."""
+    if _storage.get(cls, info) != info or hasattr(cls, "__storage__"):
+        raise SchemaError(f"{cls.__name__} has its storage already")
+    _storage[cls] = info
+    resolve.cache_clear()
+
+
 @functools.cache
 def resolve(cls: type) -> RecordSchema:
     """The schema of a storable class."""
     if not dataclasses.is_dataclass(cls) or not cls.__dataclass_params__.frozen:
         raise SchemaError(f"{cls.__name__} isn't a frozen dataclass")
-    info = getattr(cls, "__storage__", StorageInfo())
+    info = _storage.get(cls) or getattr(cls, "__storage__", StorageInfo())
     if info.dedup not in ("content_id", "by_value", "none"):
         raise SchemaError(f"unknown dedup policy {info.dedup!r}")
     hints = typing.get_type_hints(cls, include_extras=True)

@@ -43,6 +43,29 @@ def definition(schema: RecordSchema, prefix: str = "") -> dict[str, dict[str, An
     return out
 
 
+COMPARED = ("=", "!=", "<", "<=", ">", ">=")
+
+
+def query_capabilities(schema: RecordSchema, prefix: str = "") -> dict[str, dict[str, Any]]:
+    """Of each property of a class, the operators that filters can use, and whether pages can be sorted by it."""
+    out: dict[str, dict[str, Any]] = {"id": {"operators": ["=", "!="], "sortable": True}}
+    for name, rule in definition(schema, prefix).items():
+        if name in ("id", "type"):
+            continue
+        kind = rule["type"]
+        if kind.startswith("list of list"):  # tensors can't be queried
+            operators: list[str] = []
+        elif kind.startswith("list of "):
+            operators = ["HAS", "HAS ALL", "HAS ANY", "HAS ONLY", "LENGTH"]
+        elif kind == "boolean":
+            operators = ["=", "!="]
+        else:
+            operators = [*COMPARED, *(("CONTAINS", "STARTS WITH", "ENDS WITH") if kind == "string" else ())]
+        known = ["IS KNOWN", "IS UNKNOWN"] if operators else []
+        out[name] = {"operators": operators + known, "sortable": bool(operators) and not kind.startswith("list")}
+    return out
+
+
 class StoreEntryProvider:
     """Serves record classes of a store as entries ``{id, type, properties, relationships}``."""
 

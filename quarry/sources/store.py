@@ -12,6 +12,7 @@ import itertools
 import json
 import time
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators import dataflow
+from quarry.operators.results import MOST_ROWS
 from quarry.operators.searcher import Searcher, instant
 from quarry.plans.relation import Child, Relation
 from quarry.schema import FieldSpec, IdentitySkip, RecordSchema, Unique, resolve
@@ -59,6 +61,8 @@ class RecordStore:
 
     def __init__(self, spark: SparkSession, root: str, *, upgrade: bool = False):
         self.spark, self.root, self.upgrade = spark, root.rstrip("/"), upgrade
+        #: Records that someone still holds: a key gives the same object again.
+        self._known: weakref.WeakValueDictionary[tuple[type, int], Any] = weakref.WeakValueDictionary()
 
     # -- versions ---------------------------------------------------------
 
@@ -76,6 +80,39 @@ class RecordStore:
         if not files.create_text(self.spark, f"{self.root}/versions/{base + 1:010d}.json", json.dumps(manifest)):
             raise ConcurrentCommit(f"version {base + 1} exists")
 
+    def create(self, classes: Sequence[type]) -> None:
+        """Create the tables of ``classes``, and of what they refer to, that don't exist yet; as one commit."""
+        base, manifest = self.version(), self.manifest()
+        tables, queue = dict(manifest["tables"]), list(classes)
+        while queue:
+            schema = resolve(queue.pop())
+            if schema.name not in tables:
+                tables[schema.name] = {"paths": [], "columns": schema.fingerprint, "last_sid": 0}
+                queue += schema.references
+        if tables != manifest["tables"]:
+            self._commit(base, manifest | {"tables": tables})
+
+    def catalog(self) -> DataFrame:
+        """(table, column, type, folders, last_sid): what is stored, without reading it."""
+        rows = [
+            (name, *column.split(":", 1), len(entry["paths"]), entry["last_sid"])
+            for name, entry in sorted(self.manifest()["tables"].items())
+            for column in entry["columns"]
+        ]
+        return self.spark.createDataFrame(rows, "table string, column string, type string, folders int, last_sid long")
+
+    @staticmethod
+    def capabilities() -> dict[str, Any]:
+        """What a store can do; one profile, as there is one kind of store."""
+        return {
+            "transactions": "whole commits, one writer",
+            "timestamps": True,
+            "timestamp_resolution_ns": RESOLUTION,
+            "history": True,
+            "exact_rationals": True,
+            "largest_page": MOST_ROWS,
+        }
+
     # -- reading ----------------------------------------------------------
 
     def table(self, cls: type) -> DataFrame:
@@ -85,6 +122,8 @@ class RecordStore:
         if entry is None:
             return self.spark.createDataFrame([], schema.struct)
         self._verify(schema, entry)
+        if not entry["paths"]:
+            return self.spark.createDataFrame([], schema.struct)
         rows = self.spark.read.schema(schema.struct).parquet(*[f"{self.root}/{p}" for p in entry["paths"]])
         if not entry.get("promoted"):
             return rows
@@ -140,6 +179,7 @@ class RecordStore:
             frozenset(opaque),
             presence,
             "identity" if schema.dedup == "content_id" else None,
+            RESOLUTION,
             lambda sids: self.fetch_many(cls, sids),
         )
 
@@ -157,13 +197,16 @@ class RecordStore:
 
     def fetch_many(self, cls: type, sids: Sequence[int]) -> list[Any]:
         """Records by key, in order; all records that they refer to come in one read for each class and level."""
-        got = self._load({cls: set(sids)})
+        got = {(cls, s): known for s in sids if (known := self._known.get((cls, s))) is not None}
+        if wanted := {s for s in sids if (cls, s) not in got}:
+            got |= self._load({cls: wanted})
         if missing := [s for s in sids if (cls, s) not in got]:
             raise KeyError(missing)
         return [got[cls, s] for s in sids]
 
     def _load(self, wanted: Mapping[type, set[int]]) -> dict[tuple[type, int], Any]:
         rows: dict[tuple[type, int], dict] = {}
+        made: dict[tuple[type, int], Any] = dict(self._known)
         queue = {k: set(v) for k, v in wanted.items()}
         while queue:
             ahead: dict[type, set[int]] = {}
@@ -176,17 +219,14 @@ class RecordStore:
                             ahead.setdefault(f.kind, set()).add(row[f"{f.name}_sid"])
                         elif f.role == "child_reference" and row[f"{f.name}_sids"]:
                             ahead.setdefault(f.kind, set()).update(row[f"{f.name}_sids"])
-            queue = {k: left for k, v in ahead.items() if (left := {s for s in v if (k, s) not in rows})}
-        made: dict[tuple[type, int], Any] = {}
+            queue = {k: left for k, v in ahead.items() if (left := {s for s in v if (k, s) not in rows and (k, s) not in made})}
 
         def fetch(cls: type, sid: int) -> Any:
             if (cls, sid) not in made:
-                made[cls, sid] = decode(resolve(cls), rows[cls, sid], fetch)
+                made[cls, sid] = self._known[cls, sid] = decode(resolve(cls), rows[cls, sid], fetch)
             return made[cls, sid]
 
-        for cls, sid in rows:
-            fetch(cls, sid)
-        return made
+        return {key: fetch(*key) for key in rows}
 
     def fetch_by_content_id(self, cls: type, content_id: str) -> Any:
         if resolve(cls).dedup != "content_id":
@@ -530,6 +570,7 @@ class RecordStore:
             tables[schema.name], gone[schema.name] = _rewritten(manifest, schema, path), n
         if gone:
             self._commit(base, manifest | {"tables": tables})
+            self._known.clear()
         return gone
 
     def vacuum(self) -> int:

@@ -9,6 +9,7 @@ from quarry.operators import dataflow
 from quarry.operators.entries import DuplicateEntryId, EntryFederation, EntrySource, StoredProperty
 from quarry.operators.filters import FilterError, Translator, filter_predicate
 from quarry.operators.searcher import Searcher
+from quarry.schema import resolve
 from quarry.sources.files import read_text
 from quarry.sources.jdbc import jdbc_relation
 from quarry.sources.providers import (
@@ -17,6 +18,7 @@ from quarry.sources.providers import (
     ValidationError,
     export_dataset,
     product_relationships,
+    query_capabilities,
     validate_record,
     zip_folder,
 )
@@ -42,6 +44,12 @@ def test_entries_and_definitions(provider):
     assert "ports" not in read
 
 
+def test_query_capabilities():
+    got = query_capabilities(resolve(Voyage))
+    assert "HAS ONLY" in got["ports"]["operators"] and not got["ports"]["sortable"] and "CONTAINS" in got["code"]["operators"]
+    assert got["days"]["sortable"] and "<=" in got["days"]["operators"] and "CONTAINS" not in got["days"]["operators"] and "ship" not in got
+
+
 def test_relationships_keep_first_mention(provider):
     got = {(r.id, r.target_type): r.target_ids for r in provider.relationships("voyages").collect()}
     assert got["voyages-1", "ships"] == ["ships-1"] and got["voyages-1", "voyages"] == ["voyages-1"]

@@ -14,6 +14,7 @@ from quarry.operators.filters import FilterError, filter_predicate, parse
 from quarry.operators.paging import PageOrder, PageTokenError
 from quarry.plans.expr import constant, scaled_exactly_equal, when_known
 from quarry.sources.store import IntegrityError, LayoutError, MetadataConflict, RecordStore, ReplacementError
+from quarry.schema import SchemaError, StorageInfo, declare_storage, resolve
 from quarry.sources.canonical import canonical_column, canonical_text
 from tests.records import (
     AURORA,
@@ -366,6 +367,51 @@ def test_promoted_records_families_and_arrow(spark, tmp_path):
         s.fetch_entry((Ship, Ship), s.content_id(AURORA))
 
 
+def test_tables_are_created_and_listed(spark, tmp_path):
+    s = RecordStore(spark, f"file://{tmp_path}")
+    s.create([Inspection])
+    assert s.version() == 1 and {r.table for r in s.catalog().collect()} == {"inspection", "voyage", "ship"}
+    s.create([Ship])
+    assert s.version() == 1 and s.table(Ship).count() == 0
+    s.save(AURORA)
+    assert {(r.column, r.type) for r in s.catalog().filter("table = 'ship'").collect()} >= {("name", "string"), ("built", "bigint")}
+    assert s.capabilities()["timestamp_resolution_ns"] == 1000
+
+
+def test_held_records_are_the_same_objects(spark, tmp_path):
+    s = RecordStore(spark, f"file://{tmp_path}")
+    sid = s.save(VOYAGES[0])
+    one = s.fetch(Voyage, sid)
+    assert s.fetch(Voyage, sid) is one and jobs_of(spark, lambda: s.fetch(Voyage, sid)) == 0
+    assert s.fetch(Ship, one.ship._quarry_sid) is one.ship
+
+
+def test_times_are_shown_in_nanoseconds(spark, tmp_path):
+    s = RecordStore(spark, f"file://{tmp_path}")
+    before = time.time_ns()
+    s.save(AURORA)
+    q = s.searcher()
+    v = q.variable(Ship)
+    shown = q.results(t=v.store_timestamp).one().t
+    assert abs(shown - before) < 120 * 10**9 and shown % 1000 == 0
+    for moment, found in ((shown, 1), (shown - 1000, 0), ("2020-01-01T00:00:00Z", 0)):
+        q = s.searcher()
+        v = q.variable(Ship)
+        assert q.add(v.store_timestamp <= moment).count() == found
+
+
+def test_storage_declared_from_outside():
+    @dataclass(frozen=True)
+    class Plain:
+        a: int
+
+    declare_storage(Plain, StorageInfo(name="plain_things", dedup="none"))
+    assert resolve(Plain).name == "plain_things" and resolve(Plain).dedup == "none"
+    for cls in (Plain, Signal):
+        with pytest.raises(SchemaError):
+            declare_storage(cls, StorageInfo(name="other"))
+
+
 def test_garbage_is_collected(spark, tmp_path):
     s = RecordStore(spark, f"file://{tmp_path}")
     old, new = Cargo([Crate(Fraction(1), "a"), Crate(Fraction(2), "b")], "x"), Cargo([Crate(Fraction(2), "b")], "y")
