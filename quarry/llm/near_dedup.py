@@ -14,15 +14,15 @@
 
 Not all pairs of a bucket are formed.  First each bucket's members are paired
 with its smallest and largest member, confirmed, and joined to components.  Where
-a bucket still holds several components, their documents meet as groups:
+a bucket still holds several components, its documents meet, whatever components
+they are in:
 
-* A member of a smaller component probes each larger one that has several
-  documents, once, however many buckets they share.
-* Documents that are still alone are paired by a join where a bucket has a few of
-  them.  Larger buckets of them make groups, too: each such document belongs to
-  the largest of its buckets and probes the groups that it meets in any.
+* In a bucket of a few documents, those of different components are paired by a join.
+* Larger buckets are gathered into cells, as those of one common passage hold much
+  the same documents.  A document goes to each cell of its buckets once, so to 40
+  at most, however many documents and components it meets there.
 
-A probe meets a group's members inside tasks, by blocks of bounded text, through an
+The documents of a cell meet inside tasks, by blocks of bounded text, through an
 index of the block's shingles; a task emits links that join what was apart, not
 pairs.  Every two documents of a bucket are thus in one component or were compared.
 """
@@ -49,9 +49,9 @@ SKETCH_BITS, BINS = 1024, 2048
 WORDS = SKETCH_BITS // 64
 #: Standard errors above the count that is expected at the least similarity, up to which pairs are confirmed.
 MARGIN = 5.5
-#: Documents of each side that meet in one task, and bytes of their texts, at most about.
+#: Documents of a block of a cell, and bytes of their texts, at most about; one or two blocks meet in a task.
 BLOCK, BLOCK_BYTES = 4096, 6 << 20
-#: Lone documents of a bucket that are paired by a join; more of them meet as a group.
+#: Documents of a bucket that are paired by a join; more of them meet in a cell.
 FEW = 48
 _random = np.random.default_rng(160)
 FACTORS = _random.integers(0, 1 << 31, (SAMPLES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -157,21 +157,23 @@ class Members:
         order = np.argsort(shingles, kind="stable")
         self.shingles, self.owners = shingles[order], owners[order]
 
-    def like(self, probe: np.ndarray, percent: int) -> np.ndarray:
-        """Numbers of the members that are similar to a set: those that lengths and sketches leave, counted exactly."""
+    def like(self, probe: np.ndarray, percent: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of the members (``among`` some) that are similar to a set: those that lengths and sketches leave, counted exactly."""
         word, used = odd_sketch(probe)
         n = len(probe)
-        differ = np.bitwise_count(self.bits ^ word.view(np.uint64)).sum(axis=1)
-        bits = allowed_bits(n, self.size, used, self.used, percent, np.exp, np.sqrt, lambda v: np.maximum(v, 0.0))
-        near = (differ <= bits) & (100 * np.minimum(n, self.size) >= percent * np.maximum(n, self.size))
-        if not near.any():
-            return np.flatnonzero(near)
+        near = 100 * np.minimum(n, self.size) >= percent * np.maximum(n, self.size)
+        near = np.flatnonzero(near if among is None else near & among)
+        differ = np.bitwise_count(self.bits[near] ^ word.view(np.uint64)).sum(axis=1)
+        bits = allowed_bits(n, self.size[near], used, self.used[near], percent, np.exp, np.sqrt, lambda v: np.maximum(v, 0.0))
+        near = near[differ <= bits]
+        if not len(near):
+            return near
         low, high = (np.searchsorted(self.shingles, probe, side) for side in ("left", "right"))
         each = high - low
         upto = np.cumsum(each)
         found = self.owners[np.repeat(low - upto + each, each) + np.arange(upto[-1])]
-        shared = np.bincount(found, minlength=len(self.size))
-        return np.flatnonzero(near & (100 * shared >= percent * (n + self.size - shared)))
+        shared = np.bincount(found, minlength=len(self.size))[near]
+        return near[100 * shared >= percent * (n + self.size[near] - shared)]
 
 
 def links_in_block(probes: list[np.ndarray], members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -181,82 +183,82 @@ def links_in_block(probes: list[np.ndarray], members: list[np.ndarray], percent:
     return [(i, int(k[0])) for i, k in found if len(k)]
 
 
-def joining_links(probes: list[np.ndarray], members: list[np.ndarray], percent: int, names: list[list]) -> list[tuple[int, int]]:
-    """Links of probes to members that join what no earlier one does; ``names`` tell who is who on both sides."""
-    block, above = Members(members), {}
-
-    def top(x):
-        while (y := above.get(x, x)) != x:
-            above[x] = x = above.get(y, y)
-        return x
+def joining_links(
+    probes: list[np.ndarray], members: list[np.ndarray], percent: int, names: list[list], known: list[list] | None = None
+) -> list[tuple[int, int]]:
+    """Links of probes to members that join what no earlier one does.
 
+    ``names`` tell who is who on both sides, ``known`` the components they are in
+    already.  If both sides are one list, each two of it meet once.
+    """
+    block = Members(members)
+    own, of = (np.array(side) for side in known or names)
+    numbers = np.arange(len(members))
     out = []
     for i, probe in enumerate(probes):
-        for k in block.like(probe, percent).tolist():
-            a, b = top(names[0][i]), top(names[1][k])
+        apart = of != own[i]
+        if probes is members:
+            apart &= numbers > i
+        for k in block.like(probe, percent, apart).tolist():
+            a, b = own[i], of[k]
             if a != b:
-                above[max(a, b)] = min(a, b)
+                own[own == b] = a
+                of[of == b] = a
                 out.append((i, k))
     return out
 
 
-def component_links(
-    probes: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, *, joined: bool = True
-) -> DataFrame:
-    """Links (a, b) of probes (rep, component) to members (node, component) of their components.
+def meeting_cells(crowded: DataFrame) -> DataFrame:
+    """Cells (cell, rep, of) for the documents (key, rep, of, held) of large buckets, in component ``of``; ``held`` is the bucket's size.
 
-    Each task gives one link for each probe at most if the members are ``joined``
-    already, and otherwise so many as join its documents.
+    A document's home is the largest of its buckets.  A bucket goes to the cell of
+    the home that most of its documents have, if half of them have it, and is a
+    cell of its own otherwise.  So documents that share a bucket share a cell, none
+    has more cells than buckets, and a cell has 41 times the documents of its home at most.
     """
-    wanted = probes.select("component").distinct()
-    members = labels.join(small(wanted, wanted.count()), "component", "left_semi")
-    sides = members.select("component", F.col("node").alias("id"), F.lit(0).alias("role")).unionByName(
-        probes.select("component", F.col("rep").alias("id"), F.lit(1).alias("role"))
-    )
-    sides = materialize(sides, "sides")
-    ids = materialize(sides.select("id").distinct(), "ids")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = materialize(sides.join(texts.join(small(ids, ids.count()), "id", "left_semi"), "id"), "met")
-
-    def blocks(role: int) -> Column:
-        own = F.col("role") == role
-        by_bytes = F.sum(F.when(own, F.octet_length("text"))) / BLOCK_BYTES
-        return F.greatest(F.ceil(F.count(F.when(own, 1)) / BLOCK), F.ceil(by_bytes)).cast("int")
-
-    counts = materialize(rows.groupBy("component").agg(blocks(0).alias("m"), blocks(1).alias("p")), "blocks")
-    placed = rows.join(small(counts, counts.count()), "component")
-    is_probe = F.col("role") == 1
-    own_blocks, other_blocks = F.when(is_probe, F.col("p")).otherwise(F.col("m")), F.when(is_probe, F.col("m")).otherwise(F.col("p"))
-    own = F.pmod(F.xxhash64("id"), own_blocks).cast("int")
-    # A row for each block of the other side: one, but in groups of more than a block.
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), other_blocks - 1)))
-    member, probe = F.when(is_probe, F.col("other")).otherwise(F.col("own")), F.when(is_probe, F.col("own")).otherwise(F.col("other"))
-    placed = placed.select("component", member.alias("member"), probe.alias("probe"), "role", "id", "text")
+    homes = crowded.groupBy("rep").agg(F.max(F.struct("held", "key")).getField("key").alias("home"))
+    shares = crowded.join(homes, "rep").groupBy("key", "held", "home").agg(F.count(F.lit(1)).alias("share"))
+    cells = shares.groupBy("key", "held").agg(F.max(F.struct("share", "home")).alias("most"))
+    cells = cells.select("key", F.when(2 * F.col("most.share") >= F.col("held"), F.col("most.home")).otherwise(F.col("key")).alias("cell"))
+    cells = materialize(cells, "cells")
+    return crowded.join(small(cells, cells.count()), "key").select("cell", "rep", "of").distinct()
+
+
+def cell_links(places: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Links (a, b), a > b, that join documents (cell, rep, of) of a cell which the components ``of`` don't join yet."""
+    places = materialize(places, "places")
+    ids = materialize(places.select("rep").distinct(), "ids")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("text"))
+    rows = materialize(places.join(texts.join(small(ids, ids.count()), "rep", "left_semi"), "rep"), "met")
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
+    counts = materialize(rows.groupBy("cell").agg(n_blocks.alias("blocks")), "blocks")
+    placed = rows.join(small(counts, counts.count()), "cell").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # A row for each block of the cell: one, but in cells of more than a block.
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
     def check(block: pd.DataFrame) -> pd.DataFrame:
-        split = [block[block["role"] == role] for role in (1, 0)]
-        names = [side["id"].to_list() for side in split]
+        within = block["low"].iat[0] == block["high"].iat[0]
+        split = [block] if within else [block[block["own"] == block[end]] for end in ("low", "high")]
+        names, known = ([side[c].to_list() for side in split] for c in ("rep", "of"))
         sets = [[shingle_set(w) for w in word_hashes([t.encode() for t in side["text"]])] for side in split]
-        found = links_in_block(*sets, percent) if joined else joining_links(*sets, percent, names)
-        return pd.DataFrame({"a": [names[0][i] for i, _ in found], "b": [names[1][k] for _, k in found]}, dtype="int64")
-
-    return materialize(placed.groupBy("component", "member", "probe").applyInPandas(check, "a long, b long"), "more")
+        found = []
+        if all(sets):
+            found = joining_links(sets[0], sets[-1], percent, [names[0], names[-1]], [known[0], known[-1]])
+        linked = [(names[0][i], names[-1][k]) for i, k in found]
+        return pd.DataFrame({"a": [max(x) for x in linked], "b": [min(x) for x in linked]}, dtype="int64")
 
+    placed = placed.select("cell", "low", "high", "own", "rep", "of", "text")
+    return materialize(placed.groupBy("cell", "low", "high").applyInPandas(check, "a long, b long"), "more")
 
-def lone_groups(alone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (node, component) and probes (rep, component) for lone documents (key, rep, lone) of large buckets.
 
-    A group is named by its bucket.  Of two documents with a bucket in common the
-    one whose own group comes first probes the other's group.
-    """
-    homes = alone.groupBy("rep").agg(F.max(F.struct("lone", "key")).getField("key").alias("home"))
-    homes = materialize(homes, "homes")
-    met = alone.select("key", "rep").join(homes, "rep")
-    there = met.groupBy("key").agg(F.collect_set("home").alias("there"))
-    there = materialize(there, "there")
-    probes = met.join(small(there, there.count()), "key").groupBy("rep", "home").agg(F.array_distinct(F.flatten(F.collect_set("there"))).alias("there"))
-    probes = probes.select("rep", "home", F.explode("there").alias("component")).filter("component >= home")
-    return homes.select(F.col("rep").alias("node"), F.col("home").alias("component")), materialize(probes.select("rep", "component"), "lone_probes")
+def component_links(probes: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Links (a, b) that join probes (rep, component) to members (node, component) of their components, each component a cell."""
+    wanted = probes.select("component").distinct()
+    members = labels.join(small(wanted, wanted.count()), "component", "left_semi")
+    members = members.select(F.col("component").alias("cell"), F.col("node").alias("rep"), F.col("component").alias("of"))
+    places = members.unionByName(probes.select(F.col("component").alias("cell"), "rep", F.col("rep").alias("of")))
+    return cell_links(places, docs, id_col, text_col, percent)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -335,35 +337,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_labels = labels.count()
 
     # Buckets that still hold several components.
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = materialize(labels.join(sizes, "component"), "sized")
-    labelled = members.select("key", "rep").join(small(sized, n_labels), F.col("rep") == F.col("node"), "left")
-    labelled = labelled.select("key", "rep", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "rep").alias("of")).alias("own"))
-    labelled = materialize(labelled, "labelled")
-    several = F.when(F.col("own.size") > 1, F.col("own"))
-    open_keys = labelled.groupBy("key").agg(
-        F.min("own").alias("least"),
-        F.max("own").alias("most"),
-        F.collect_set(several).alias("several"),
-        F.count(F.when(F.col("own.size") == 1, 1)).alias("lone"),
-    )
-    open_keys = materialize(open_keys.filter("least < most"), "open")
-    minor = labelled.join(small(open_keys, open_keys.count()), "key").filter("own < most OR own.size = 1")
-    minor = materialize(minor.select("key", "rep", "own", F.filter("several", lambda c: c > F.col("own")).alias("larger"), "lone"), "minor")
-    larger = minor.filter("size(larger) > 0").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("larger"))).alias("larger"))
-    probes = materialize(larger.select("rep", F.explode("larger.of").alias("component")), "probes")
-    more = component_links(probes, labels, docs, id_col, text_col, percent)
-    alone = minor.filter("own.size = 1 AND lone > 1").select("key", "rep", "lone")
-    few = materialize(alone.filter(F.col("lone") <= FEW).select("key", "rep").join(marks, "rep"), "few")
+    labelled = members.select("key", "rep").join(small(labels, n_labels), F.col("rep") == F.col("node"), "left")
+    labelled = materialize(labelled.select("key", "rep", F.coalesce("component", "rep").alias("of")), "labelled")
+    open_keys = labelled.groupBy("key").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.count(F.lit(1)).alias("held"))
+    open_keys = materialize(open_keys.filter("least < most").select("key", "held"), "open")
+    meeting = materialize(labelled.join(small(open_keys, open_keys.count()), "key"), "meeting")
+    few = materialize(meeting.filter(F.col("held") <= FEW).select("key", "rep", "of").join(marks, "rep"), "few")
     x, y = few.alias("x"), few.alias("y")
-    single = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & may_be_similar("x", "y", percent))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.of") != F.col("y.of"))
+    single = x.join(y, apart & may_be_similar("x", "y", percent))
     single = single.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     single = materialize(single.join(stars, ["a", "b"], "left_anti"), "single")
-    more = more.unionByName(confirmed(single, docs, id_col, text_col, percent))
-    crowded = alone.filter(F.col("lone") > FEW)
+    more = confirmed(single, docs, id_col, text_col, percent)
+    crowded = meeting.filter(F.col("held") > FEW)
     if not crowded.isEmpty():
-        own, met = lone_groups(crowded)
-        more = more.unionByName(component_links(met, own, docs, id_col, text_col, percent, joined=False))
+        more = more.unionByName(cell_links(meeting_cells(crowded), docs, id_col, text_col, percent))
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "labels")
         n_labels = labels.count()

@@ -181,3 +181,46 @@ def test_hubs_of_components_meet_by_broadcast(spark, monkeypatch, room):
     links = [(i, 1000) for i in range(1, 40)] + [(i, i + 1) for i in range(50, 70)] + [(60, 1000), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in [*range(1, 40), *range(50, 71), 1000]}, 200: 200, 201: 200}
+
+
+def test_documents_of_many_components_go_to_few_cells(spark, monkeypatch):
+    """Triples of near copies that share a passage: no row for each document and each component that it meets."""
+    passage = prose(70, 90)
+    bodies = [f"{passage} {prose(100 + s, 60)}" for s in range(30)]
+    texts = [near_copy(b, k, k % 3) for b in bodies for k in range(3)]
+    rows, kept = {}, near_dedup.materialize
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows[name] = rows.get(name, 0) + (out.count() if name == "met" else 0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    got = {r.doc_id: r.component_id for r in near_groups(table(spark, texts)).collect()}
+    assert got == components_by_force(dict(enumerate(texts)))
+    assert 0 < rows["met"] <= 5 * len(texts)
+
+
+def test_documents_of_a_bucket_share_a_cell(spark):
+    buckets = {1: range(40), 2: range(20, 44), 3: range(38, 80), 4: [0, 79, 90, 91], 5: [90, 91], 6: range(5, 12)}
+    crowded = [(k, d, d % 7, len(held)) for k, held in buckets.items() for d in held]
+    places = near_dedup.meeting_cells(spark.createDataFrame(crowded, "key long, rep long, of long, held long")).collect()
+    cells = defaultdict(set)
+    for r in places:
+        cells[r.cell].add(r.rep)
+        assert r.of == r.rep % 7
+    assert all(any(set(held) <= cell for cell in cells.values()) for held in buckets.values())
+    assert sum(map(len, cells.values())) == len(places) and set(cells) < set(buckets)
+
+
+@pytest.mark.parametrize("n", [1, 2, 14])
+def test_joining_links_heed_known_components(n):
+    texts = [near_copy(prose(3, 120), s, s % 3) for s in range(14)]
+    sets = [shingle_set(w) for w in word_hashes([t.encode() for t in texts])]
+    known = [i % n for i in range(14)]
+    found = near_dedup.joining_links(sets, sets, 75, [list(range(14))] * 2, [known, known])
+    label = known[:]
+    for a, b in found:
+        label = [label[a] if x == label[b] else x for x in label]
+    assert len(found) == n - 1 and len(set(label)) == 1
