@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import corpus_pipeline
+from quarry.llm import near_dedup
 from quarry.llm.mixing import mix
 from quarry.llm.toxicity import score_toxicity
 from tests.llm.common import components_by_force, near_copy, prose, table
@@ -76,3 +77,21 @@ def test_pipeline_of_rows_without_ids_and_with_clashing_columns(spark, tmp_path)
     want = [(True, 0, texts[0]), (True, 0, texts[1]), (False, 5, texts[2]), (False, 5, texts[3]), (False, 6, ""), (False, 7, near_copy(texts[4], 1, 1))]
     assert got == sorted(want)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 5, 6, 7}
+
+
+def test_near_dedup_stage_places_documents_of_many_components_few_times(spark, monkeypatch):
+    """Pairs of near copies that share a passage; the rows with texts that go to tasks are counted."""
+    passage = prose(71, 90)
+    texts = [near_copy(f"{passage} {prose(300 + s, 60)}", k, k) for s in range(40) for k in range(2)]
+    rows, kept = {}, near_dedup.materialize
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows[name] = rows.get(name, 0) + (out.count() if name == "met" else 0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table(spark, texts), "").collect()}
+    assert left == {i for i, c in components_by_force(dict(enumerate(texts))).items() if i == c}
+    assert 0 < rows["met"] <= 5 * len(texts)
