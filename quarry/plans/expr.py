@@ -75,6 +75,7 @@ class Predicate:
     ``test`` is set where the predicate is nothing but whether an atom's scope has a
     row that satisfies its condition (true), or has none (false): as a conjunct
     that needs a semi-join and no aggregate.  ``by_python`` predicates can't be join conditions.
+    ``equal`` is set where it is nothing but an equality of two columns, each with its sources.
     """
 
     column: Column
@@ -84,6 +85,7 @@ class Predicate:
     parts: tuple[Predicate, ...] = ()
     test: tuple[Atom, bool] | None = None
     by_python: bool = False
+    equal: tuple[tuple[Column, frozenset[Source]], tuple[Column, frozenset[Source]]] | None = None
 
     def _with(self, other: Predicate, column: Column, sign: str, parts: tuple[Predicate, ...] = ()) -> Predicate:
         if not isinstance(other, Predicate):
@@ -135,7 +137,8 @@ class Value:
             return Predicate(column, self._sources, self._atoms, f"{self._text} {sign} NULL")
         if isinstance(other, Value):
             column = op(self._column, other._column)
-            return Predicate(column, self._sources | other._sources, self._atoms + other._atoms, f"{self._text} {sign} {other._text}")
+            equal = ((self._column, self._sources), (other._column, other._sources)) if sign == "=" else None
+            return Predicate(column, self._sources | other._sources, self._atoms + other._atoms, f"{self._text} {sign} {other._text}", equal=equal)
         column = op(self._column, F.lit(self._encode(other)))
         return Predicate(column, self._sources, self._atoms, f"{self._text} {sign} {other!r}")
 
@@ -190,7 +193,8 @@ class Value:
             if self._exact is None or other._exact is None:
                 return self == other
             column = self._exact == other._exact
-            return Predicate(column, self._sources | other._sources, self._atoms + other._atoms, f"{self._text} == {other._text}")
+            equal = (self._exact, self._sources), (other._exact, other._sources)
+            return Predicate(column, self._sources | other._sources, self._atoms + other._atoms, f"{self._text} == {other._text}", equal=equal)
         if self._exact is None:
             return self == other
         from quarry.functions.codecs import exact_text
@@ -412,7 +416,8 @@ class Reference:
             return Predicate(self._key.isNull(), frozenset({self._owner}), (), f"{self._text} = NULL")
         if isinstance(other, Variable):
             both = frozenset({self._owner, other._source})
-            return Predicate(self._key == other._source.key, both, (), f"{self._text} = {other._source.label}")
+            equal = (self._key, frozenset({self._owner})), (other._source.key, frozenset({other._source}))
+            return Predicate(self._key == other._source.key, both, (), f"{self._text} = {other._source.label}", equal=equal)
         return Predicate(self._key == F.lit(_sid(other)), frozenset({self._owner}), (), f"{self._text} = {_sid(other)}")
 
     __eq__ = lambda self, o: self._compare(o)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.plans.expr import Atom, Predicate, Source
+from quarry.plans.spread import spread_join
 
 
 def source_frame(source: Source, as_of: Column | None, only_latest: bool) -> DataFrame:
@@ -147,7 +148,8 @@ def build(
     """Rows of all ``variables`` that satisfy all ``predicates``.
 
     Conjuncts on one variable filter it before any join; those on several become
-    join conditions; variables that nothing connects are crossed.
+    join conditions; variables that nothing connects are crossed.  Joins without an
+    equality are dealt out by the pairs that they meet, for which rows are counted.
     """
     conjuncts = [c for p in predicates for c in p.conjuncts()]
     home = {s: v for v in variables for s in v.walk()}
@@ -156,6 +158,11 @@ def build(
     def roots(p: Predicate) -> set[Source]:
         return {home[s] for s in p.sources if s in home}
 
+    def links(p: Predicate, variable: Source) -> bool:
+        """Whether a predicate equates a column of ``variable`` with one of others."""
+        sides = [{home.get(s) for s in sources} for _, sources in p.equal or ()]
+        return {variable} in sides and any(variable not in s for s in sides)
+
     out, placed = None, set()
     for variable in variables:
         frame = with_references(source_frame(variable, as_of, only_latest), variable, as_of)
@@ -176,13 +183,13 @@ def build(
             out = frame
             continue
         linking = [c for c in conjuncts if variable in roots(c) and len(roots(c)) > 1 and roots(c) <= placed]
-        if linking:
-            met = linking[0].column
-            for c in linking[1:]:
-                met = met & c.column
+        met = None
+        for c in linking:
+            met = c.column if met is None else met & c.column
+        if any(links(c, variable) for c in linking):
             out = out.join(frame, met)
         else:
-            out = out.crossJoin(frame)
+            out = spread_join(out, frame, met, [v.key for v in variables if v in placed and v is not variable], [variable.key])
     for c in conjuncts:
         if not c.sources:
             out = out.filter(c.column)
