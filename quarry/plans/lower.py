@@ -148,8 +148,8 @@ def build(
     """Rows of all ``variables`` that satisfy all ``predicates``.
 
     Conjuncts on one variable filter it before any join; those on several become
-    join conditions; variables that nothing connects are crossed.  Joins without an
-    equality are dealt out by the pairs that they meet, for which rows are counted.
+    join conditions; variables that nothing connects are crossed.  Joins on no
+    side's key are dealt out by the pairs that they meet, for which rows are counted.
     """
     conjuncts = [c for p in predicates for c in p.conjuncts()]
     home = {s: v for v in variables for s in v.walk()}
@@ -158,10 +158,13 @@ def build(
     def roots(p: Predicate) -> set[Source]:
         return {home[s] for s in p.sources if s in home}
 
-    def links(p: Predicate, variable: Source) -> bool:
-        """Whether a predicate equates a column of ``variable`` with one of others."""
-        sides = [{home.get(s) for s in sources} for _, sources in p.equal or ()]
-        return {variable} in sides and any(variable not in s for s in sides)
+    def equated(p: Predicate, variable: Source) -> tuple[Column, Column] | None:
+        """The columns of others and of ``variable`` that a predicate equates."""
+        sides = [(column, {home.get(s) for s in sources}) for column, sources in p.equal or ()]
+        for (mine, of_mine), (other, of_others) in (sides, sides[::-1]) if sides else ():
+            if of_mine == {variable} and of_others and variable not in of_others:
+                return other, mine
+        return None
 
     out, placed = None, set()
     for variable in variables:
@@ -186,10 +189,13 @@ def build(
         met = None
         for c in linking:
             met = c.column if met is None else met & c.column
-        if any(links(c, variable) for c in linking):
+        keys = [pair for c in linking if (pair := equated(c, variable))]
+        before = [v.key for v in variables if v in placed and v is not variable]
+        unique = {(1, str(variable.key))} | ({(0, str(before[0]))} if len(before) == 1 else set())
+        if any((side, str(pair[side])) in unique for pair in keys for side in (0, 1)):
             out = out.join(frame, met)
         else:
-            out = spread_join(out, frame, met, [v.key for v in variables if v in placed and v is not variable], [variable.key])
+            out = spread_join(out, frame, met, before, [variable.key], keys)
     for c in conjuncts:
         if not c.sources:
             out = out.filter(c.column)

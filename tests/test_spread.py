@@ -59,3 +59,31 @@ def test_products_are_whole(spark, small):
     s = Searcher()
     s.variable(things(spark, ROWS)), s.variable(things(spark, []))
     assert s.count() == 0
+
+
+def test_few_groups_are_met_by_many_tasks(spark):
+    relation = things(spark, [(i, 0.0, i % 2) for i in range(4600)])
+    s = Searcher()
+    a, b = s.variable(relation), s.variable(relation)
+    most, total = fullest(s.add(a.kind == b.kind).add(a.id != b.id).results(one=a, two=b).to_frame())
+    assert total == 2 * 2300 * 2299 and most <= 0.8 * total
+
+
+def test_pairs_of_groups_are_whole(spark, small):
+    s = Searcher()
+    a, b = s.variable(things(spark, ROWS)), s.variable(things(spark, OTHERS))
+    found = s.add(b.kind == a.kind).add(a.level == b.level).results(one=a, two=b).to_frame()
+    same = sorted((x[0], y[0]) for x in ROWS for y in OTHERS if x[2] == y[2] and x[2] and x[1] is not None and (x[1] == y[1] or y[1] is not None and x[1] != x[1] and y[1] != y[1]))
+    assert sorted(map(tuple, found.collect())) == same
+    s = Searcher()
+    a, b = s.variable(things(spark, ROWS)), s.variable(things(spark, OTHERS))
+    found = s.add(b.kind == a.kind).results(one=a, two=b).to_frame()
+    assert found.rdd.getNumPartitions() > 1
+    assert sorted(map(tuple, found.collect())) == sorted((x[0], y[0]) for x in ROWS for y in OTHERS if x[2] and x[2] == y[2])
+
+
+def test_joins_on_a_key_are_not_counted(spark, monkeypatch):
+    monkeypatch.setattr(spread, "load", None)
+    s = Searcher()
+    a, b = s.variable(things(spark, ROWS)), s.variable(things(spark, OTHERS))
+    assert s.add(a.kind == b.sid).results(one=a, two=b).to_frame().count() == sum(r[2] is not None for r in ROWS)
