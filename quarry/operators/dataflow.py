@@ -70,8 +70,22 @@ def reachable(roots: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:
     return seen
 
 
+def bounds_below(key: Column, bounds: Column, n: int) -> Column:
+    """How many of ``n`` sorted ``bounds``, an array, are below ``key``; all if it is null.
+
+    A binary search: log2(n) steps for each row, and an expression of one size for any ``n``.
+    """
+    widths = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+
+    def step(found: Column, width: Column) -> Column:
+        ahead = found + width
+        return F.when((ahead <= n) & (key.isNull() | (key > F.get(bounds, ahead - 1))), ahead).otherwise(found)
+
+    return F.aggregate(widths, F.lit(0), step)
+
+
 def dense_numbers(rows: DataFrame, key: str, name: str, parts: int | None = None) -> DataFrame:
-    """``rows`` with dense numbers 1..n in the order of the unique ``key``.
+    """``rows`` with dense numbers 1..n in the order of the unique ``key``, nulls last.
 
     Range-partitioned by key; each partition numbers its own rows, and a table of
     one row per partition gives the offsets.  No task sees all rows.
@@ -79,14 +93,15 @@ def dense_numbers(rows: DataFrame, key: str, name: str, parts: int | None = None
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    bounds = sorted(set(bounds or []))
+    bounds = sorted({b for b in bounds or [] if b == b})
     slot = F.lit(0)
-    for b in bounds:
-        slot = slot + (F.col(key) > b).cast("int")
+    if bounds:
+        array = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{dict(rows.dtypes)[key]}>")
+        slot = F.coalesce(bounds_below(F.col(key), array, len(bounds)), slot)  # never null, so the join needs no filter
     placed = rows.withColumn("_q_part", slot)
     counts = placed.groupBy("_q_part").agg(F.count(F.lit(1)).alias("_q_n"))
     before = Window.orderBy("_q_part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("_q_part", F.coalesce(F.sum("_q_n").over(before), F.lit(0)).alias("_q_first"))
-    own = F.row_number().over(Window.partitionBy("_q_part").orderBy(key))
+    own = F.row_number().over(Window.partitionBy("_q_part").orderBy(F.col(key).asc_nulls_last()))
     out = placed.withColumn("_q_own", own).join(F.broadcast(first), "_q_part")
     return out.withColumn(name, (F.col("_q_first") + F.col("_q_own")).cast("long")).drop("_q_part", "_q_own", "_q_first")
