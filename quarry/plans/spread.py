@@ -42,6 +42,13 @@ def load(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Column, Column]
     return Load(*[v or 0 for v in found])
 
 
+def known(columns: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & c.isNotNull()
+    return out
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -60,6 +67,14 @@ def spread_join(
     size = load(left, right, keys)
     if size.pairs <= max(TASK_PAIRS, PAIRS_PER_ROW * (size.left + size.right)):
         return left.crossJoin(right) if met is None else left.join(right, met)
+    left_keys, right_keys = [k[0] for k in keys], [k[1] for k in keys]
+    kinds = [[kind for _, kind in frame.select(*own).dtypes] for frame, own in ((left, left_keys), (right, right_keys))]
+    if kinds[0] == kinds[1] and {"float", "double"} & set(kinds[0]):
+        # By floats Spark would exchange the rows once more, into few tasks. A hash is one for all zeros, and for all NaNs.
+        left = left.filter(known(left_keys)).withColumn("_q_left_key", F.xxhash64(*left_keys))
+        right = right.filter(known(right_keys)).withColumn("_q_right_key", F.xxhash64(*right_keys))
+        left_keys, right_keys = [F.col("_q_left_key")], [F.col("_q_right_key")]
+        met = (left_keys[0] == right_keys[0]) & F.coalesce(met, F.lit(False))
     high = min(size.most_left, CELL_PAIRS // min(size.most_right, math.isqrt(CELL_PAIRS)))
     wide = min(size.most_right, CELL_PAIRS // high)
     rows, columns = math.ceil(size.most_left / high), math.ceil(size.most_right / wide)
@@ -73,9 +88,9 @@ def spread_join(
         frame = frame.select("*", own, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(f"{tag}{across}"))
         return frame.repartition(tasks, *own_keys, f"{tag}row", f"{tag}column")
 
-    left = dealt(left, size.left, left_ids, [k[0] for k in keys], "_q_left_", "row", rows, columns)
-    right = dealt(right, size.right, right_ids, [k[1] for k in keys], "_q_right_", "column", columns, rows)
+    left = dealt(left, size.left, left_ids, left_keys, "_q_left_", "row", rows, columns)
+    right = dealt(right, size.right, right_ids, right_keys, "_q_right_", "column", columns, rows)
     cell = (F.col("_q_left_row") == F.col("_q_right_row")) & (F.col("_q_left_column") == F.col("_q_right_column"))
     # Merged, as copies in a broadcast would have no bound.
     joined = left.join(right.hint("merge"), cell if met is None else cell & met)
-    return joined.drop(*[f"_q_{side}_{axis}" for side in ("left", "right") for axis in ("row", "column")])
+    return joined.drop(*[f"_q_{side}_{axis}" for side in ("left", "right") for axis in ("row", "column", "key")])

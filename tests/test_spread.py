@@ -87,3 +87,17 @@ def test_joins_on_a_key_are_not_counted(spark, monkeypatch):
     s = Searcher()
     a, b = s.variable(things(spark, ROWS)), s.variable(things(spark, OTHERS))
     assert s.add(a.kind == b.sid).results(one=a, two=b).to_frame().count() == sum(r[2] is not None for r in ROWS)
+
+
+def test_groups_of_floats_are_met_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spread, "TASK_PAIRS", 1 << 17)
+    monkeypatch.setattr(spread, "CELL_PAIRS", 1 << 14)
+    level = [0.0, -0.0, float("nan"), None]
+    relation = things(spark, [(i, level[i % 4], i % 3 or None) for i in range(1200)])
+    s = Searcher()
+    a, b = s.variable(relation), s.variable(relation)
+    most, total = fullest(s.add(a.level == b.level).results(one=a, two=b).to_frame())
+    assert total == 600**2 + 300**2 and most <= 0.8 * total
+    s = Searcher()
+    a, b = s.variable(relation), s.variable(relation)
+    assert s.add(a.kind == b.kind).add(a.level == b.level).count() == 2 * (200**2 + 100**2)
